@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import keep, read, space_word_count, uniform
+from plumbline.llm.common import keep, read, small, space_word_count, uniform
 
 SOURCE_WEIGHTS = (3, 1, 2)
 MIX_SHARE = 1.5
@@ -87,8 +87,6 @@ def mix(docs: DataFrame, quality_weight: Column, *, weights=SOURCE_WEIGHTS, shar
 
 def _few(table: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """Tables of one row a source are broadcast up to a counted bound."""
-    from plumbline.llm.common import small
-
     table = keep(table, "sources")
     return small(table, table.count(), most_rows)
 
@@ -107,6 +105,16 @@ def weighted(sized: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
     return joined, weight
 
 
+def mixed_documents(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """The documents of which the mix takes words, all columns of ``docs`` and size, source_size, target, taken.
+    A document is read taken / size times; a rest is its first words."""
+    plain = docs.drop("size", "source_size", "target", "taken")
+    sized = docs.select("doc_id", "source", space_word_count(F.col("text")).alias("size"))
+    found = mix(*weighted(sized, labels.select("doc_id", "quality")), **parameters).where("taken > 0")
+    found = keep(found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), "size", "source_size", "target", "taken"), "mixed")
+    return plain.join(small(found, found.count(), 400_000), plain["doc_id"].eqNullSafe(found["__id"])).drop("__id")
+
+
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
     sized = read(spark, sf_dir, "documents").select("doc_id", "source", space_word_count(F.col("text")).alias("size"))
     found = mix(*weighted(sized, read(spark, sf_dir, "labels").select("doc_id", "quality")))
