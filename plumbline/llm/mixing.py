@@ -8,9 +8,10 @@ target is filled with the documents of smallest exponential key
 prefix sum against the token budget.  The document in which the budget ends
 gives the words that fit, so that a source's sum is its target to the word.
 
-The prefix sum is made in two levels.  Keys are cut into ``BINS`` bins by
-rank-preserving rounding; sums by source and bin find the bin in which the
-budget ends, and only that bin's documents are put in order.  So a source that
+The prefix sum is made in levels.  Keys are cut into ``BINS`` bins by
+rank-preserving rounding; sums by source and coarse bin, then by the fine bins
+of one coarse bin, find the bin in which the budget ends, and only that bin's
+documents are put in order.  So a source that
 holds a third of all rows is never sorted in one task.
 
 Defined cases: a null or empty text has size 0 and target 0 words; sources go
@@ -68,11 +69,15 @@ def mix(docs: DataFrame, quality_weight: Column, *, weights=SOURCE_WEIGHTS, shar
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("budget", budget - F.col("epochs") * F.col("source_size"))
-    before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = by_bin.withColumn("before", before).join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    # of each source, the bin in which the budget ends
-    cut = cut.where("before <= budget AND before + bin_size > budget").groupBy("s", "source_size", "target", "epochs", "budget").agg(F.min(F.struct("bin", "before")).alias("cut"))
-    cut = keep(cut.select("s", F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before"), "source_size", "target", "epochs", "budget"), f"{name}-cuts")
+    # where the budget ends: first among the coarse bins, then among the fine ones of that bin
+    step = max(2, round(bins**0.5))
+    coarse = by_bin.groupBy("source", F.floor(F.col("bin") / step).cast("int").alias("coarse")).agg(F.sum("bin_size").alias("n"))
+    budgets = targets.withColumnRenamed("source", "s")
+    coarse = coarse.join(budgets, F.col("source").eqNullSafe(F.col("s"))).withColumn("before", _before("n", "coarse"))
+    coarse = coarse.where("before <= budget AND before + n > budget").select("s", "source_size", "target", "epochs", "budget", "coarse", F.col("before").alias("base"))
+    fine = by_bin.join(_few(coarse), F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("bin") / step) == F.col("coarse")))
+    cut = fine.withColumn("before", F.col("base") + _before("bin_size", "bin")).where("before <= budget AND before + bin_size > budget")
+    cut = keep(cut.select("s", F.col("bin").alias("cut_bin"), "before", "source_size", "target", "epochs", "budget"), f"{name}-cuts")
     targets = targets.withColumnRenamed("source", "s").select("s", "source_size", "target", "epochs")
     plain = rows.join(_few(targets), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plain = plain.join(_few(cut.select(F.col("s").alias("s"), "cut_bin", "before", "budget")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
@@ -85,6 +90,11 @@ def mix(docs: DataFrame, quality_weight: Column, *, weights=SOURCE_WEIGHTS, shar
     return outside.unionByName(ends).withColumn("target", F.round("target", 6))
 
 
+def _before(amount: str, order: str) -> Column:
+    """The source's sum of what stands before; over at most some hundred rows a source."""
+    return F.coalesce(F.sum(amount).over(Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def _few(table: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """Tables of one row a source are broadcast up to a counted bound."""
     table = keep(table, "sources")
