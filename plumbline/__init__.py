@@ -1,0 +1 @@
+"""Plumbline: profiling, typing and preparing tabular data on Spark."""
