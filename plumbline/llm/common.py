@@ -81,6 +81,11 @@ def alnum_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), NOT_ALNUM), "")
 
 
+def alnum_word_count(text: Column) -> Column:
+    """How many words alnum_words has; letters of both cases count, so nothing is lower-cased."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+
+
 def space_word_count(text: Column) -> Column:
     """How many words white space separates; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACE)), F.lit(0)).cast("long")

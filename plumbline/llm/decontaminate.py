@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import alnum_words, keep, read, small
+from plumbline.llm.common import alnum_word_count, alnum_words, keep, read, small
 
 WINDOW = 10
 #: Windows broadcast at once; at about 200 bytes each, 20 MB.
@@ -51,7 +51,9 @@ def hits(docs: DataFrame, items: DataFrame, k: int = WINDOW, block: int = BLOCK)
         length = F.coalesce(length, F.when(F.col("place") < before + here, F.lit(n)))
         start = F.coalesce(start, F.when(F.col("place") < before + here, F.col("place") - before))
         before = before + here
-    grams = text.select("doc_id", "ws", F.posexplode(F.concat(*hashed)).alias("place", "h"))
+    # exploding a plain column is compiled and doesn't copy the words for each row; the outer form keeps the optimizer
+    # from deriving a filter that would split the text again for each word
+    grams = text.select("doc_id", "ws", F.concat(*hashed).alias("hs")).select("doc_id", "ws", F.posexplode_outer("hs").alias("place", "h"))
     out = None
     blocks = -(-total // block)  # dealt by hash, so of even size
     for b in range(blocks):
@@ -80,7 +82,7 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     items = read(spark, sf_dir, "benchmark").select("item_id", "text")
     found = per_document(hits(docs, items)).drop("spans")
-    base = docs.select("doc_id", F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"))
+    base = docs.select("doc_id", alnum_word_count(F.col("text")).alias("n_words"))
     joined = base.join(found.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     n = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import alnum_words, read
+from plumbline.llm.common import alnum_word_count, alnum_words, read
 
 K = 3
 DRIFT = 4
@@ -62,8 +62,11 @@ def matches(docs: DataFrame, runs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, tid, label, is_base, n_runs, p, q of all equal runs."""
     text = docs.select("doc_id", alnum_words(F.col("text")).alias("ws"))
     hashes = F.expr(f"CASE WHEN size(ws) >= {k} THEN transform(sequence(1, size(ws) - {k - 1}), i -> xxhash64(slice(ws, i, {k}))) ELSE array() END")
-    grams = text.select("doc_id", "ws", F.posexplode(hashes).alias("p", "h"))
-    same = (grams["h"] == runs["th"]) & (F.slice("ws", F.col("p") + 1, F.lit(k)) == F.col("gram"))
+    # exploding a plain column is compiled and doesn't copy the words for each row; the outer form keeps the optimizer
+    # from deriving a filter that would split the text again for each word
+    grams = text.select("doc_id", "ws", hashes.alias("hs")).select("doc_id", "ws", F.posexplode_outer("hs").alias("p", "h"))
+    # the words are compared only where the hashes agree: with a length of the other side that isn't a join key
+    same = (grams["h"] == runs["th"]) & (F.slice("ws", F.col("p") + 1, F.size("gram")) == F.col("gram"))
     return grams.join(F.broadcast(runs), same).select("doc_id", "tid", "label", "is_base", "n_runs", "p", "q")
 
 
@@ -87,7 +90,7 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.round(F.max("coverage"), 6).alias("score"),
     )
-    words = docs.select("doc_id", F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"))
+    words = docs.select("doc_id", alnum_word_count(F.col("text")).alias("n_words"))
     out = words.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
