@@ -32,8 +32,10 @@ from plumbline.llm.common import read
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-#: Entries of each worker's memo; when full it starts anew.
-MEMO = 400_000
+#: Words of each worker's memo in each of its two generations.
+MEMO = 700_000
+#: Remembered pairs of tokens; beyond, they start anew.
+PAIRS = 1_500_000
 
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Where the installed ``regex`` and the tokenizer library hold the same Unicode classes.
@@ -100,7 +102,7 @@ class PrefixCounter:
         """Whether token b may follow token a: no merge across the border comes before those that build a and b."""
         key = a << 32 | b
         if (found := self._fits.get(key)) is None:
-            if len(self._fits) > 4 * MEMO:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
             found = self._fits[key] = self._apart(self.right[a], self.left[b])
         return found
@@ -121,17 +123,24 @@ class PrefixCounter:
 
     def byte_prefixes(self, word: bytes) -> list[int]:
         """Counts of word[:1], word[:2], ...; prefixes that end inside a character count their bytes."""
-        last, count, get, fits, longest = [0], [0], self.ids.get, self._fits, self.longest
+        last, count, get, fits, merges, longest = [0], [0], self.ids.get, self._fits, self.rank, self.longest
         for i in range(1, len(word) + 1):
-            for j in range(max(0, i - longest), i):
+            t = get(word[:i]) if i <= longest else None
+            if t is not None:  # a token is its own encoding
+                last.append(t)
+                count.append(1)
+                continue
+            for j in range(max(1, i - longest), i):
                 t = get(word[j:i])
                 if t is None:
                     continue
-                if j:
-                    ok = fits.get(last[j] << 32 | t)
-                    if ok is None:
-                        ok = self._fit(last[j], t)
-                if not j or ok:
+                key = last[j] << 32 | t
+                if key in merges:  # the two would be one
+                    continue
+                ok = fits.get(key)
+                if ok is None:
+                    ok = self._fit(last[j], t)
+                if ok:
                     last.append(t)
                     count.append(count[j] + 1)
                     break
@@ -208,16 +217,20 @@ class PrefixCounter:
 
 
 class _Memo(dict):
-    """A word's count, from its prefix vector."""
+    """A word's count, from its prefix vector.  When full, the words become the older generation, from which
+    those in use come back."""
 
     def __init__(self, counter: PrefixCounter):
         super().__init__()
-        self.counter = counter
+        self.counter, self.older = counter, {}
 
     def __missing__(self, word: str) -> int:
-        n = self.counter.byte_prefixes(word.encode())[-1]
+        n = self.older.get(word)
+        if n is None:
+            n = self.counter.byte_prefixes(word.encode())[-1]
         if len(word) <= 64:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[word] = n
         return n
