@@ -252,6 +252,8 @@ def write_wkt(shape: Shape) -> str:
         return head + " EMPTY"
     if shape.code == 7:
         return f"{head} ({', '.join(map(write_wkt, shape.coords))})"
+    if shape.code == 4:
+        return f"{head} ({', '.join(f'({position(p)})' for p in shape.coords)})"
     return f"{head} ({position(shape.coords)})" if shape.code == 1 else f"{head} {body(shape.coords, _DEPTH[shape.code])}"
 
 
