@@ -8,7 +8,8 @@ p - q.  Votes are summed by diagonal; diagonals that differ by at most
 ``DRIFT`` words and follow each other in the document are merged, which
 bridges inserted, dropped or changed words; a merged span counts if it holds
 at least ``COVER`` of the template's runs and is not much longer than the
-template.  A base phrase counts only on one diagonal, complete.
+template.  Of such spans that overlap in a document only the best covered
+counts.  A base phrase counts only on one diagonal, complete.
 
 Only matches are shuffled, by document and template.
 
@@ -79,7 +80,10 @@ def spans(found: DataFrame, k: int = K, drift: int = DRIFT, cover: float = COVER
     merged = votes.where(~F.col("is_base")).withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("cluster", F.sum("new").over(order))
     merged = merged.groupBy("doc_id", "tid", "label", "is_base", "n_runs", "cluster").agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
     merged = merged.withColumn("coverage", F.col("n") / F.col("n_runs")).where((F.col("coverage") >= cover) & (F.col("end") - F.col("start") <= stretch * (F.col("n_runs") + k - 1)))
-    return base.unionByName(merged.select("doc_id", "tid", "label", "is_base", "start", "end", "coverage"))
+    # of licenses that share their wording, the one that a place holds best counts
+    by_doc = merged.groupBy("doc_id").agg(F.collect_list(F.struct("tid", "label", "is_base", "start", "end", "coverage")).alias("found"))
+    best = F.expr("filter(found, s -> NOT exists(found, o -> o.start < s.end AND o.end > s.start AND o.coverage > s.coverage))")
+    return base.unionByName(by_doc.select("doc_id", F.explode_outer(best).alias("s")).select("doc_id", "s.*"))
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -116,7 +120,8 @@ c AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) <= {DRIFT} AND st
       FROM v WHERE NOT is_base WINDOW o AS (PARTITION BY doc_id, tid ORDER BY start_, diagonal)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, tid ORDER BY start_, diagonal) AS cluster FROM c),
 x AS (SELECT doc_id, tid, label, n_runs, cluster, len(list_distinct(flatten(list(qs)))) / n_runs::DOUBLE AS coverage, min(start_) AS start_, max(end_) AS end_ FROM g GROUP BY doc_id, tid, label, n_runs, cluster),
-f AS (SELECT * FROM b UNION ALL SELECT doc_id, label, false, start_, coverage FROM x WHERE coverage >= {COVER}::DOUBLE AND end_ - start_ <= {STRETCH}::DOUBLE * (n_runs + {K - 1})),
+y AS (SELECT * FROM x WHERE coverage >= {COVER}::DOUBLE AND end_ - start_ <= {STRETCH}::DOUBLE * (n_runs + {K - 1})),
+f AS (SELECT * FROM b UNION ALL SELECT doc_id, label, false, start_, coverage FROM y WHERE NOT EXISTS (SELECT 1 FROM y o WHERE o.doc_id = y.doc_id AND o.start_ < y.end_ AND o.end_ > y.start_ AND o.coverage > y.coverage)),
 a AS (SELECT doc_id, count_if(is_base) AS n_base, min(start_) FILTER (is_base) AS first_word, max(start_) FILTER (is_base) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, round(max(coverage), 6) AS score FROM f GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
