@@ -1,17 +1,20 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, of target text (labelled good) and of all text, are matched:
-the same order, smoothing and vocabulary.  The vocabulary is one hash table of
-``2**WORD_BITS`` word bins, and bigrams have ``2**PAIR_BITS`` bins, so both
-models have a fixed size and no word is unknown.  Counts are taken over every
-token of every document.  A token's loss under a model is
--log of (c(v w) + M p(w)) / (c(v) + M), p(w) = (c(w) + 1) / (N + bins);
+the same order, smoothing and vocabulary.  Every word and every bigram of every
+document is counted by itself, under a 63-bit hash; the counts are a table in
+the shared folder that grows with the corpus.  A token's loss under a model is
+-log of (c(v w) + M p(w)) / (c(v) + M), p(w) = (c(w) + 1) / (N + distinct words);
 a document's score is the mean over its tokens of target loss - background loss
 (lower is nearer to the target).
 
+Scoring reads the counts by parts.  The most frequent n-grams, ``FREQUENT`` at
+most, are broadcast; the others that occur twice or more are joined with the
+documents that hold them; what neither has occurs once in the corpus, at the
+place that asks for it.  So each part only moves the cost and never a count.
+
 The target is at most ``LABELLED`` documents of quality 1, those of smallest id
-hash.  Tasks send sums of bins, which grow with the corpus until all bins are
-used in each task; what the driver gathers and broadcasts is bounded by the bins.
+hash.
 
 Defined cases: null counts as empty; a text without tokens has no losses
 (null) and score 0; repeated rows give repeated rows; without target text the
@@ -29,95 +32,186 @@ from plumbline.llm import ngrams
 from plumbline.llm.common import keep, read
 from plumbline.llm.quality import LABELLED, labelled
 
+#: Bins of ``model_counts``; the scores don't depend on them.
 WORD_BITS = 18
 PAIR_BITS = 21
 SMOOTHING = 50.0
-START = np.array([0], np.uint64)
-#: Where the bins of pairs begin, after those of words.
-_PAIRS = 1 << WORD_BITS
-_BINS = _PAIRS + (1 << PAIR_BITS)
-
-
-def _batch_bins(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Over the tokens of all texts: word bin, bin of the word before, pair bin; and where each text begins."""
-    found = [ngrams.token_hashes(t.as_py()) for t in texts]
-    lengths = np.array([len(h) for h in found])
-    words, before, pairs = [], [], []
-    for h in found:
-        if len(h):
-            h = np.concatenate([START, h])
-            w = ngrams.bins(h, WORD_BITS)
-            words.append(w[1:])
-            before.append(w[:-1])
-            pairs.append(ngrams.pair_bins(h, PAIR_BITS))
-    join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return join(words), join(before), join(pairs), lengths
+#: N-grams that are broadcast at most (24 bytes each); the result doesn't depend on it.
+FREQUENT = 1 << 22
+#: Distinct n-grams that a task holds before it sends them.
+_HELD = 1 << 21
+_WORD = "key & 1 = 0"
 
 
-def model_counts(docs: DataFrame) -> np.ndarray:
-    """(2, bins): counts over all text and over target text; docs: text, good."""
+def _batch_keys(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the start (0) and the words of each text with any, one text after another; of the pairs; and tokens of each text."""
+    found = [ngrams.word_keys(t.as_py()) for t in texts]
+    lengths = np.array([len(h) for h in found], np.int64)
+    words = np.zeros(int((lengths + (lengths > 0)).sum()), np.uint64)
+    token = np.ones(len(words), bool)
+    token[_starts(lengths)] = False
+    words[token] = np.concatenate(found) if found else words[token]
+    return words, ngrams.pair_keys(words[:-1], words[1:])[token[1:]], lengths
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    """Where the start of each text with tokens stands among starts and words."""
+    used = lengths[lengths > 0] + 1
+    return np.cumsum(used) - used
+
+
+def _summed(keys: np.ndarray, n: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys with the sums of both counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (n, target))
+
+
+def ngram_counts(docs: DataFrame) -> DataFrame:
+    """key (even: a word or the start; odd: a pair), n, target: counts over all text and over target text; docs: text, good."""
 
     def run(batches):
-        sums = np.zeros((2, _BINS), np.int64)
+        held, size = [], 0
         for batch in batches:
-            good = np.array([bool(g) for g in batch.column(1).to_pylist()])
-            words, before, pairs, lengths = _batch_bins(batch.column(0))
-            target = np.repeat(good, lengths)
-            for at, x in ((0, words), (_PAIRS, pairs)):
-                n = (_PAIRS, _BINS - _PAIRS)[at > 0]
-                sums[0, at : at + n] += np.bincount(x, minlength=n)
-                sums[1, at : at + n] += np.bincount(x[target], minlength=n)
-            starts = int((lengths > 0).sum()), int((lengths[good] > 0).sum())
-            begin = int(ngrams.bins(START, WORD_BITS)[0])  # so that the start has a count as a word before
-            sums[:, begin] += starts
-        used = np.flatnonzero(sums[0])
-        for a in range(0, len(used), 1 << 16):
-            u = used[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(sums[0][u]), pa.array(sums[1][u])], ["bin", "n", "target"])
-
-    found = docs.select("text", "good").mapInArrow(run, "bin int, n bigint, target bigint").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
-    table = found.toArrow()
-    out = np.zeros((2, _BINS), np.int64)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                good = np.array([bool(g) for g in part.column(1).to_pylist()])
+                words, pairs, lengths = _batch_keys(part.column(0))
+                target = np.concatenate([np.repeat(good, lengths + (lengths > 0)), np.repeat(good, lengths)]).astype(np.int64)
+                held.append(_summed(np.concatenate([words, pairs]), np.ones(len(target), np.int64), target))
+                size += len(held[-1][0])
+                if size > _HELD:
+                    held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size > _HELD // 2:
+                        yield from _rows(held[0])
+                        held, size = [], 0
+        if held:
+            yield from _rows(_summed(*map(np.concatenate, zip(*held, strict=True))))
+
+    def _rows(sums):
+        for a in range(0, len(sums[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)].view(np.int64)) for x in sums], ["key", "n", "target"])
+
+    return docs.select("text", "good").mapInArrow(run, "key bigint, n bigint, target bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+
+
+def model_counts(docs: DataFrame) -> np.ndarray:
+    """(2, bins): the counts summed to fixed bins, words first, for a look at them; scores don't use it."""
+    place = F.expr(f"CASE WHEN {_WORD} THEN pmod(shiftright(key, 1), {1 << WORD_BITS}) ELSE {1 << WORD_BITS} + pmod(shiftright(key, 1), {1 << PAIR_BITS}) END")
+    table = ngram_counts(docs).groupBy(place.alias("bin")).agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toArrow()
+    out = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)), np.int64)
     out[:, table.column("bin").to_numpy()] = np.stack([table.column("n").to_numpy(), table.column("target").to_numpy()])
     return out
 
 
-class Model:
-    """Losses of tokens under one model; 4 bytes for each bin."""
+class Counts:
+    """Counts (keys, n, target) sorted by key, for the n-grams that a table holds."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.float32)
-        self.total = float(counts[:_PAIRS].sum())
+    def __init__(self, keys, n, target):
+        order = np.argsort(keys)
+        self.keys, self.both = keys[order], np.stack([n[order], target[order]])
 
-    def losses(self, words, before, pairs) -> np.ndarray:
-        c = self.counts
-        p = (c[words] + 1.0) / (self.total + _PAIRS)
-        return -np.log((np.minimum(c[_PAIRS + pairs], c[before]) + SMOOTHING * p) / (c[before] + SMOOTHING))
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each of the keys is held, and its place."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
 
 
-def score(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score of every row."""
-    known = F.broadcast(keep(labelled(labels, most), "labelled"))  # at most 2 * most rows
-    marked = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id"), "left")
-    counts = model_counts(marked)
-    models = docs.sparkSession.sparkContext.broadcast((Model(counts[1]), Model(counts[0])))
+def _look_up(keys: np.ndarray, good: np.ndarray, tables: list[Counts]) -> np.ndarray:
+    """(2, keys): n and target of each key; what no table holds occurs once, here."""
+    distinct, back = np.unique(keys, return_inverse=True)
+    counts, known = np.ones((2, len(distinct)), np.int64), np.zeros(len(distinct), bool)
+    for table in tables:
+        held, at = table.find(distinct)
+        counts[:, held] = table.both[:, at[held]]
+        known |= held
+    out = counts[:, back]
+    out[1] = np.where(known[back], out[1], good)
+    return out
+
+
+def _frequent(table: DataFrame, most: int) -> tuple[int, int]:
+    """The least count of n-grams that are broadcast, and how many of two or more remain below it."""
+    ceiling = 1 << 16
+    sizes = {r["n"]: r["count"] for r in table.where("n > 1").groupBy(F.least("n", F.lit(ceiling)).alias("n")).count().collect()}
+    least, held = ceiling + 1, 0
+    for n in sorted(sizes, reverse=True):
+        if held + sizes[n] > most:
+            return (1 << 62 if least > ceiling else least), sum(sizes.values()) - held
+        least, held = n, held + sizes[n]
+    return 2, 0
+
+
+def _with_rare(marked: DataFrame, rare: DataFrame, frequent) -> DataFrame:
+    """``marked`` with the counts of the rare n-grams of each document: rare, an array of (key, n, target).
+
+    Documents are told apart by a hash; two that share it share the union of their counts, which is right for both."""
+    marked = marked.withColumn("row", F.xxhash64("doc_id", "text"))
 
     def run(batches):
-        target, background = models.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                words, before, pairs, lengths = _batch_bins(part.column(1))
+                words, pairs, lengths = _batch_keys(part.column(1))
+                rows = part.column(0).to_numpy()
+                keys = np.concatenate([words, pairs])
+                of = np.concatenate([np.repeat(rows, lengths + (lengths > 0)), np.repeat(rows, lengths)])
+                distinct, back = np.unique(keys, return_inverse=True)
+                left = ~frequent.value.find(distinct)[0][back]
+                yield pa.RecordBatch.from_arrays([pa.array(of[left]), pa.array(keys[left].view(np.int64))], ["row", "key"])
+
+    asked = marked.select("row", "text").mapInArrow(run, "row bigint, key bigint")
+    found = asked.join(rare.hint("merge"), "key").groupBy("row").agg(F.collect_set(F.struct("key", "n", "target")).alias("rare"))
+    return marked.join(found.hint("merge"), "row", "left").drop("row")
+
+
+def score(docs: DataFrame, labels: DataFrame, most: int = LABELLED, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of every row."""
+    known = F.broadcast(keep(labelled(labels, most), "labelled"))  # at most 2 * most rows
+    marked = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "good")
+    table = keep(ngram_counts(marked), "ngram-counts")
+    size = table.where(_WORD).agg(F.count(F.lit(1)), F.sum("n"), F.sum("target")).first()
+    distinct, totals = size[0], (size[1] or 0, size[2] or 0)
+    least, n_rare = _frequent(table, frequent)
+    top = table.where(F.col("n") >= least).toArrow()
+    held = docs.sparkSession.sparkContext.broadcast(Counts(top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("target").to_numpy()))
+    if n_rare:
+        marked = _with_rare(marked, table.where((F.col("n") > 1) & (F.col("n") < least)), held)
+
+    def losses(words, pairs, token, n):
+        p = (words[n][token] + 1.0) / (totals[n] + distinct)
+        before = words[n][:-1][token[1:]]
+        return -np.log((pairs[n] + SMOOTHING * p) / (before + SMOOTHING))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                tables = [held.value]
+                if n_rare:
+                    rare = part.column(3).flatten()
+                    key, n, target = (rare.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                    tables.append(Counts(key.view(np.uint64), n, target))
+                good = np.array([bool(g) for g in part.column(2).to_pylist()])
+                words, pairs, lengths = _batch_keys(part.column(1))
+                token = np.ones(len(words), bool)
+                token[_starts(lengths)] = False
+                words = _look_up(words, np.repeat(good, lengths + (lengths > 0)), tables)
+                pairs = _look_up(pairs, np.repeat(good, lengths), tables)
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 means = []
-                for m in (target, background):
-                    loss = np.concatenate([[0.0], np.cumsum(m.losses(words, before, pairs), dtype=np.float64)])
+                for m in (1, 0):
+                    loss = np.concatenate([[0.0], np.cumsum(losses(words, pairs, token, m))])
                     means.append((loss[ends[1:]] - loss[ends[:-1]]) / np.maximum(lengths, 1))
                 none = lengths == 0
                 mean = [pa.array(np.round(x, 6), pa.float64(), mask=none) for x in means]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths.astype(np.int64)), *mean, pa.array(np.round(means[0] - means[1], 6))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), *mean, pa.array(np.round(means[0] - means[1], 6))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, target_loss double, background_loss double, score double")
+    return marked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, target_loss double, background_loss double, score double")
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,17 @@ def token_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, tokens), np.uint64, len(tokens))
 
 
+def word_keys(text: str | None) -> np.ndarray:
+    """An even 64-bit number for each token of the whole text, A-Z lower-cased."""
+    tokens = _TOKEN.findall((text or "").encode(errors="surrogatepass").translate(_LOWER))
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens)) & ~np.uint64(1)
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """An odd 64-bit number for each pair of word keys."""
+    return ((before * _A) ^ (words * _B)) | np.uint64(1)
+
+
 def bins(h: np.ndarray, bits: int) -> np.ndarray:
     """Each number's bin, of 2**bits."""
     return ((h * _A) >> np.uint64(64 - bits)).astype(np.int64)

@@ -333,6 +333,45 @@ def test_lm_scoring(spark, judged):
     assert counts[0, : 1 << lm_scoring.WORD_BITS].sum() == 6 + 2 and counts[1, 1 << lm_scoring.WORD_BITS :].sum() == 4
 
 
+def brute_losses(rows, good):
+    """Exact bigram losses {id: (target, background)} of rows (id, text); good: ids of target text."""
+    texts = {i: ["<s>", *re.findall(r"[0-9a-z\x80-\U0010ffff]+|[^0-9a-z\x80-\U0010ffff\s]+", (t or "").lower())] for i, t in rows}
+    texts = {i: t for i, t in texts.items() if len(t) > 1}
+    out = {i: [] for i in texts}
+    vocabulary = {w for t in texts.values() for w in t}
+    for ids in (good & set(texts), set(texts)):
+        words, pairs = ({}, {})
+        for i in ids:
+            for w in texts[i]:
+                words[w] = words.get(w, 0) + 1
+            for p in itertools.pairwise(texts[i]):
+                pairs[p] = pairs.get(p, 0) + 1
+        total = sum(words.values()) + len(vocabulary)
+        for i, t in texts.items():
+            loss = [-math.log((pairs.get((v, w), 0) + 50 * (words.get(w, 0) + 1) / total) / (words.get(v, 0) + 50)) for v, w in itertools.pairwise(t)]
+            out[i].append(sum(loss) / len(loss))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [lm_scoring.FREQUENT, 40, 0])
+def test_lm_counts_are_exact(spark, frequent):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, rng.randint(0, 40), "abc")) for i in range(60)] + [(60, None), (61, "once only"), (62, "once only"), (63, "single words here")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(64)], "doc_id long, quality int")
+    got = by_id(lm_scoring.score(documents(spark, rows), labels, frequent=frequent))
+    expected = brute_losses(rows, {i for i in range(64) if i % 3 == 0})
+    assert len(got) == 64 and got[60].target_loss is None
+    for i, (target, background) in expected.items():
+        assert got[i].target_loss == pytest.approx(target, abs=2e-6) and got[i].background_loss == pytest.approx(background, abs=2e-6)
+
+
+def test_lm_counts_grow(spark):
+    n = (1 << 18) + 5000
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)), True)], "text string, good boolean")
+    table = lm_scoring.ngram_counts(docs)
+    assert table.where("key & 1 = 0").count() == n + 1 and table.where("key & 1 = 1").count() == n
+
+
 def test_language_id(spark, tmp_path):
     rng = random.Random(6)
     letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "äöüßé"}
