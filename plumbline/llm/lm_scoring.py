@@ -13,8 +13,7 @@ most, are broadcast; the others that occur twice or more are joined with the
 documents that hold them; what neither has occurs once in the corpus, at the
 place that asks for it.  So each part only moves the cost and never a count.
 
-The target is at most ``LABELLED`` documents of quality 1, those of smallest id
-hash.
+The target is every document of quality 1.
 
 Defined cases: null counts as empty; a text without tokens has no losses
 (null) and score 0; repeated rows give repeated rows; without target text the
@@ -29,8 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import ngrams
-from plumbline.llm.common import keep, read
-from plumbline.llm.quality import LABELLED, labelled
+from plumbline.llm.common import keep, read, small
 
 #: Bins of ``model_counts``; the scores don't depend on them.
 WORD_BITS = 18
@@ -38,8 +36,10 @@ PAIR_BITS = 21
 SMOOTHING = 50.0
 #: N-grams that are broadcast at most (24 bytes each); the result doesn't depend on it.
 FREQUENT = 1 << 22
+#: Ids of target documents that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Distinct n-grams that a task holds before it sends them.
-_HELD = 1 << 21
+_HELD = 1 << 20
 _WORD = "key & 1 = 0"
 
 
@@ -74,8 +74,8 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 good = np.array([bool(g) for g in part.column(1).to_pylist()])
                 words, pairs, lengths = _batch_keys(part.column(0))
                 target = np.concatenate([np.repeat(good, lengths + (lengths > 0)), np.repeat(good, lengths)]).astype(np.int64)
@@ -169,11 +169,12 @@ def _with_rare(marked: DataFrame, rare: DataFrame, frequent) -> DataFrame:
     return marked.join(found.hint("merge"), "row", "left").drop("row")
 
 
-def score(docs: DataFrame, labels: DataFrame, most: int = LABELLED, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, frequent: int = FREQUENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every row."""
-    known = F.broadcast(keep(labelled(labels, most), "labelled"))  # at most 2 * most rows
-    marked = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "good")
+    known = keep(labels.where("quality = 1").select(F.col("doc_id").alias("label_id"), F.lit(True).alias("good")).where("label_id IS NOT NULL").distinct(), "target-ids")
+    marked = docs.select("doc_id", "text").join(small(known, known.count(), broadcast_rows), F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "good")
     table = keep(ngram_counts(marked), "ngram-counts")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # the cleaner then removes the shuffle files of the counts
     size = table.where(_WORD).agg(F.count(F.lit(1)), F.sum("n"), F.sum("target")).first()
     distinct, totals = size[0], (size[1] or 0, size[2] or 0)
     least, n_rare = _frequent(table, frequent)

@@ -365,6 +365,15 @@ def test_lm_counts_are_exact(spark, frequent):
         assert got[i].target_loss == pytest.approx(target, abs=2e-6) and got[i].background_loss == pytest.approx(background, abs=2e-6)
 
 
+@pytest.mark.parametrize("broadcast_rows", [lm_scoring.BROADCAST_ROWS, 0])
+def test_lm_target_is_every_good_document(spark, broadcast_rows):
+    n = quality.LABELLED + 1000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id") % 7).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    got = lm_scoring.score(docs, labels.unionByName(labels), broadcast_rows=broadcast_rows)
+    assert got.count() == n and got.where("target_loss <> background_loss OR score <> 0").count() == 0
+
+
 def test_lm_counts_grow(spark):
     n = (1 << 18) + 5000
     docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)), True)], "text string, good boolean")
