@@ -112,10 +112,9 @@ def _geojson(spark, path, **kw):
     raw = spark.read.option("multiLine", True).option("prefersDecimal", False).text(path, wholetext=True)
     features = raw.select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("f"))
     parts = features.select(F.get_json_object("f", "$.properties").alias("p"), F.get_json_object("f", "$.geometry").alias("g"))
-    sample = [r[0] for r in parts.select("p").limit(1000).collect() if r[0]]
-    schema = spark.read.json(spark.sparkContext.parallelize(sample)).schema if sample else None
+    schema = spark.read.json(parts.where("p IS NOT NULL").select("p").rdd.map(lambda r: r[0])).schema  # of all features
     shape = G.to_wkb(F.col("g"), "geojson").alias("geometry", metadata={"semantic": "geometry", "crs": "EPSG:4326", "active": True})
-    if schema is None or not schema.fields:
+    if not schema.fields:
         return parts.select(shape)
     return parts.select(F.from_json("p", schema).alias("p"), shape).select("p.*", "geometry")
 

@@ -105,3 +105,16 @@ def test_stream_profile(spark, tmp_path):
     q = profiled(stream, profile.counts, str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).first()["non_null"] == 5
+
+
+def test_geojson_properties_of_all_features(spark, tmp_path):
+    point = {"type": "Point", "coordinates": [1, 2]}
+    features = [{"type": "Feature", "properties": {"a": i}, "geometry": point} for i in range(1200)]
+    features.append({"type": "Feature", "properties": {"a": 0.5, "late": "x"}, "geometry": point})
+    (tmp_path / "late.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    df = read_file(spark, str(tmp_path / "late.geojson"))
+    assert dict(df.dtypes)["a"] == "double"
+    assert [(r.a, r.late) for r in df.where("late IS NOT NULL").collect()] == [(0.5, "x")]
+    bare = [{"type": "Feature", "properties": None, "geometry": point}]
+    (tmp_path / "bare.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": bare}))
+    assert read_file(spark, str(tmp_path / "bare.geojson")).columns == ["geometry"]
