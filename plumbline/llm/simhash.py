@@ -17,8 +17,9 @@ Buckets, two ways:
   m - radius of them.  Fingerprints within the radius agree in some such
   choice, so no link is missed.  m follows from the number of fingerprints.
 * sampled, for radii that need too many choices: each of T tables takes
-  k of the bits; T is such that a pair of the designed similarity is missed by all with
-  probability ``MISS`` at most.  k and T follow from the number of fingerprints.
+  k of the bits; T is such that a pair at the radius is missed by all with
+  probability ``MISS`` at most, and a nearer one with less.  k and T follow from the number of
+  fingerprints, which changes the cost and not the bound.
 
 Buckets of more than ``CELL`` members are cut into parts and compared pair of
 parts by pair of parts, so a task holds at most two parts.  A bucket gives a
@@ -119,9 +120,9 @@ def exact_tables(bits: int, radius: int, n: int) -> list[list[int]]:
 
 
 @lru_cache
-def sampled_tables(bits: int, differing: float, n: int) -> list[list[int]]:
-    """For each table k bits; pairs that differ in the share ``differing`` of bits are missed with probability MISS."""
-    count = lambda k: math.ceil(math.log(MISS) / math.log(1 - (1 - differing) ** k))
+def sampled_tables(bits: int, radius: int, n: int) -> list[list[int]]:
+    """For each table k bits; a pair that differs in ``radius`` bits is missed with probability MISS at most."""
+    count = lambda k: math.ceil(math.log(MISS) / math.log1p(-math.comb(bits - radius, k) / math.comb(bits, k)))
     k = min(range(8, 41), key=lambda k: count(k) * (n + n * n / 2**k / 800))
     choose = np.random.default_rng(bits)
     return [sorted(choose.choice(bits, k, replace=False).tolist()) for _ in range(count(k))]
@@ -276,15 +277,14 @@ def links(nodes: DataFrame, radius: int, words: int, tables: list[list[int]], ce
     return dealt.mapInArrow(_compare(radius, words), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int, radius: int, bits: int = 64, differing: float | None = None, cell: int = CELL) -> DataFrame:
-    """doc_id, f0, ..., component_id of every row.  differing: the share of differing bits
-    that sampled tables are designed for; without it the tables are exact."""
+def near_duplicates(docs: DataFrame, *, shingle: int, radius: int, bits: int = 64, sampled: bool = False, cell: int = CELL) -> DataFrame:
+    """doc_id, f0, ..., component_id of every row.  sampled: by sampled tables, else by exact ones."""
     words = bits // 64
     names = [f"f{w}" for w in range(words)]
     found = keep(fingerprints(docs, shingle, words), "fingerprints")
     nodes = keep(found.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     n = max(1, nodes.count())
-    tables = exact_tables(bits, radius, n) if differing is None else sampled_tables(bits, differing, n)
+    tables = sampled_tables(bits, radius, n) if sampled else exact_tables(bits, radius, n)
     roots = keep(components(links(nodes, radius, words, tables, cell)), "roots")
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int, radius: int, bits: int = 6
 #: The corpus stage: five-word shingles and 256 bits.  Texts whose shingle sets have similarity (Jaccard) 0.8 have
 #: cosine 8/9 and differ in a share of acos(8/9)/pi = 0.151 of the bits, 38.7 of 256 with deviation 5.7; the radius lies
 #: 2.3 deviations above.  Unrelated texts differ in 128 with deviation 8.
-STAGE = {"shingle": 5, "bits": 256, "radius": 52, "differing": 0.151}
+STAGE = {"shingle": 5, "bits": 256, "radius": 52, "sampled": True}
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:

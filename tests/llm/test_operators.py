@@ -118,6 +118,15 @@ def test_bit_sliced_distances(n, words, radius):
     assert {(i, int(j)) for i, js in simhash.near(f, radius) for j in js} == {(i, j) for i, j in zip(*np.nonzero(d <= radius), strict=True) if i < j}
 
 
+@pytest.mark.parametrize("n", [10**3, 10**5, 10**6, 10**7, 10**8])
+def test_sampled_tables_hold_their_bound_at_the_radius(n):
+    stage = simhash.STAGE
+    tables = simhash.sampled_tables(stage["bits"], *[v for k, v in stage.items() if k == "radius"], n)
+    k = len(tables[0])
+    met = math.comb(stage["bits"] - stage["radius"], k) / math.comb(stage["bits"], k)
+    assert (1 - met) ** len(tables) <= simhash.MISS and len({len(t) for t in tables}) == 1
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (4, 3), (10, 11), (12, 11), (7, 7), (2, 1)]
     assert {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {2: 1, 3: 1, 4: 1, 11: 10, 12: 10}
