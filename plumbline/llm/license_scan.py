@@ -8,7 +8,9 @@ p - q.  Votes are summed by diagonal; diagonals that differ by at most
 ``DRIFT`` words and follow each other in the document are merged, which
 bridges inserted, dropped or changed words; a merged span counts if it holds
 at least ``COVER`` of the template's runs and is not much longer than the
-template.  Of such spans that overlap in a document only the best covered
+template.  A merged span that is longer is cut where the template begins anew,
+so copies of a short notice side by side count each by itself (the SQL drops
+them all).  Of such spans that overlap in a document only the best covered
 counts.  A base phrase counts only on one diagonal, complete.
 
 Only matches are shuffled, by document and template.
@@ -77,8 +79,14 @@ def spans(found: DataFrame, k: int = K, drift: int = DRIFT, cover: float = COVER
     base = votes.where(F.col("is_base") & (F.size("qs") == F.col("n_runs"))).select("doc_id", "tid", "label", "is_base", "start", "end", F.lit(1.0).alias("coverage"))
     order = Window.partitionBy("doc_id", "tid").orderBy("start", "diagonal")
     near = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= drift) & (F.col("start") - F.lag("start").over(order) <= F.col("n_runs") + k + drift)
-    merged = votes.where(~F.col("is_base")).withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("cluster", F.sum("new").over(order))
-    merged = merged.groupBy("doc_id", "tid", "label", "is_base", "n_runs", "cluster").agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    clustered = votes.where(~F.col("is_base")).withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("cluster", F.sum("new").over(order))
+    clustered = clustered.withColumn("first_q", F.array_min("qs")).withColumn("last_q", F.array_max("qs"))
+    # a cluster that is too long may be copies side by side: where the template's places go back, another copy begins
+    whole, within = Window.partitionBy("doc_id", "tid", "cluster"), Window.partitionBy("doc_id", "tid", "cluster").orderBy("start", "diagonal")
+    long = F.max("end").over(whole) - F.min("start").over(whole) > stretch * (F.col("n_runs") + k - 1)
+    again = long & F.coalesce(F.col("first_q") <= F.lag("last_q").over(within), F.lit(False))
+    clustered = clustered.withColumn("again", F.when(again, 1).otherwise(0)).withColumn("copy", F.sum("again").over(within))
+    merged = clustered.groupBy("doc_id", "tid", "label", "is_base", "n_runs", "cluster", "copy").agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
     merged = merged.withColumn("coverage", F.col("n") / F.col("n_runs")).where((F.col("coverage") >= cover) & (F.col("end") - F.col("start") <= stretch * (F.col("n_runs") + k - 1)))
     # of licenses that share their wording, the one that a place holds best counts
     by_doc = merged.groupBy("doc_id").agg(F.collect_list(F.struct("tid", "label", "is_base", "start", "end", "coverage")).alias("found"))

@@ -252,6 +252,13 @@ def test_license_scan(spark, tmp_path):
     assert got[6].labels == "" and got[7].labels == "all-rights-reserved" and got[7].score == 1
 
 
+def test_license_copies_side_by_side(spark, tmp_path):
+    texts = ["All rights reserved. All rights reserved.", "all rights reserved. x all rights reserved", "All rights reserved.\n" * 300, "all rights all rights", "all rights reserved"]
+    write(documents(spark, list(enumerate(texts))), tmp_path, "documents")
+    got = by_id(license_scan.op7_license_scan(spark, str(tmp_path)))
+    assert [(got[i].labels, got[i].score) for i in range(5)] == [("all-rights-reserved", 1.0)] * 3 + [("", 0.0), ("all-rights-reserved", 1.0)]
+
+
 # --- 9
 
 
