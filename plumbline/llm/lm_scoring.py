@@ -173,7 +173,8 @@ def score(docs: DataFrame, labels: DataFrame, frequent: int = FREQUENT, broadcas
     """doc_id, n_tokens, target_loss, background_loss, score of every row."""
     known = keep(labels.where("quality = 1").select(F.col("doc_id").alias("label_id"), F.lit(True).alias("good")).where("label_id IS NOT NULL").distinct(), "target-ids")
     marked = docs.select("doc_id", "text").join(small(known, known.count(), broadcast_rows), F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "good")
-    table = keep(ngram_counts(marked), "ngram-counts")
+    # every word, for the number of them; a pair that isn't in the table occurs once
+    table = keep(ngram_counts(marked).where(f"n > 1 OR {_WORD}"), "ngram-counts")
     docs.sparkSession.sparkContext._jvm.System.gc()  # the cleaner then removes the shuffle files of the counts
     size = table.where(_WORD).agg(F.count(F.lit(1)), F.sum("n"), F.sum("target")).first()
     distinct, totals = size[0], (size[1] or 0, size[2] or 0)
