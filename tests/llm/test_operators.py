@@ -160,33 +160,83 @@ def edited(rng, s, n):
     return "".join(s)
 
 
-@pytest.mark.parametrize("crowd", [0, 2])
-def test_line_dedup(spark, crowd):
-    rng = random.Random(crowd)
-    base = ["".join(rng.choices("abcdefgh é😀", k=rng.randint(18, 40))) for _ in range(15)]
-    texts = ["\n".join(edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3, 4])) for _ in range(5)) for _ in range(16)] + [None, "", "\n\n"]
-    docs = documents(spark, list(enumerate(texts)))
-    links = {(tuple(r.early), tuple(r.late)) for r in line_dedup.linked_lines(docs.select("doc_id", "text"), crowd=crowd).collect()}
-    first = {}
-    for i, t in enumerate(texts):
+def near_lines(seed, n_texts=16):
+    rng = random.Random(seed)
+    base = ["".join(rng.choices("abcdefgh é😀", k=rng.randint(18, 40))).strip() for _ in range(12)]
+    base += ["0" * rng.randint(20, 40), "ab" * 15, "word " * 9 + "%d end of the line" % seed]
+    texts = ["\n".join(edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3, 4])) for _ in range(6)) for _ in range(n_texts)]
+    return texts + [None, "", "\n\n", "short\n \nshort", "short", base[0] + "\n" + base[0]]
+
+
+def brute_lines(rows):
+    """{(doc_id, n): None, "equal" or "near"} and the lines linked to an earlier one; rows: doc_id, text."""
+    first, lines = {}, {}
+    for i, t in sorted(rows):
         for k, line in enumerate((t or "").split("\n")):
-            if len(line) >= line_dedup.MIN_CHARS:
+            if line.strip():
+                lines[i, k] = line
                 first.setdefault(line, (i, k))
-    expected = {tuple(sorted((first[a], first[b]))) for a, b in itertools.combinations(first, 2) if distance(a, b) <= line_dedup.TAU}
-    assert links == expected and expected
-    if crowd:
-        late = {b for _, b in expected}
-        kept = by_id(line_dedup.drop_lines(docs))
-        for i, t in enumerate(texts):
-            lines = (t or "").split("\n")
-            stay = [x for k, x in enumerate(lines) if len(x) < line_dedup.MIN_CHARS or (first[x] == (i, k) and first[x] not in late)]
-            if len(stay) == len(lines):
-                assert kept[i].text == t
-            elif "".join(stay).strip():
-                assert kept[i].text == "\n".join(stay) and kept[i].n_chars == len(kept[i].text)
-            else:
-                assert i not in kept
-        assert line_dedup.drop_lines(docs).columns == docs.columns
+    long = sorted((x for x in first if len(x) >= line_dedup.MIN_CHARS), key=first.get)
+    late = {b for a, b in itertools.combinations(long, 2) if abs(len(a) - len(b)) <= line_dedup.TAU and distance(a, b) <= line_dedup.TAU}
+    return {p: "near" if x in late else "equal" if first[x] != p else None for p, x in lines.items()}, late, first
+
+
+@pytest.mark.parametrize(("crowd", "cells"), [(12, (7, 15)), (2, (7, 15)), (2, (6,)), (1, ())])
+def test_links_of_lines(spark, crowd, cells):
+    texts = near_lines(crowd, 24)
+    docs = documents(spark, list(enumerate(texts))).select("doc_id", "text")
+    lines = line_dedup.partners(docs, line_dedup.line_table(docs))
+    text = {r.id: r.line for r in lines.select("id", F.expr("decode(u, 'UTF-32')").alias("line")).collect()}
+    links = [(r.early, r.late) for r in line_dedup.linked(lines, crowd=crowd, cells=cells).collect()]
+    _, late, first = brute_lines(list(enumerate(texts)))
+    assert all(a < b and first[text[a]] < first[text[b]] and distance(text[a], text[b]) <= line_dedup.TAU for a, b in links)
+    assert {text[b] for _, b in links} == late and late
+
+
+def test_lines_alike_stay_linear(spark):
+    same = "the quick brown fox jumps over the lazy dog and then "
+    n = 300
+    docs = documents(spark, [(i, f"{same}{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(n)]).select("doc_id", "text")
+    lines = line_dedup.partners(docs, line_dedup.line_table(docs))
+    assert lines.count() == n and n - 1 <= line_dedup.linked(lines).count() <= 2 * n
+    assert [r.doc_id for r in line_dedup.drop_lines(documents(spark, [(r.doc_id, r.text) for r in docs.collect()])).collect()] == [0]
+
+
+@pytest.mark.parametrize("broadcast_rows", [line_dedup.BROADCAST_ROWS, 0])
+def test_line_dedup(spark, tmp_path, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast_rows)
+    rows = [*enumerate(near_lines(3))]
+    docs = documents(spark, [*rows, (None, rows[0][1]), (3, rows[3][1])])
+    write(docs, tmp_path, "documents")
+    what, late, first = brute_lines(rows)
+    got = line_dedup.op2_line_dedup(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) + 2
+    kept = {}
+    for r in got:
+        i, t = (0, rows[0][1]) if r.doc_id is None else rows[r.doc_id]
+        lines = (t or "").split("\n")
+        of = [None] * len(lines) if r.doc_id is None else [what.get((i, k)) for k in range(len(lines))]
+        text = "\n".join(x for x, w in zip(lines, of, strict=True) if not w)
+        assert (r.n_lines, r.n_equal, r.n_near) == (len(lines), of.count("equal"), of.count("near"))
+        assert r.kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        # classes are documents that keep a line
+        assert (r.class_ids == []) == (not any(of)) and all(None in [w for p, w in what.items() if p[0] == c] for c in r.class_ids)
+        if r.doc_id is not None:
+            kept[i] = None if any(of) and not text.strip() else t if not any(of) else text
+    out = line_dedup.drop_lines(docs)
+    assert out.columns == docs.columns
+    found = {(r.doc_id, r.text, r.n_chars) for r in out.collect()}
+    assert found == {(i, t, len(t or "")) for i, t in kept.items() if t is not None or rows[i][1] is None} | {(None, rows[0][1], len(rows[0][1]))}
+    assert line_dedup.drop_lines(documents(spark, [])).count() == 0
+
+
+def test_line_dedup_long_and_repeated_ids(spark):
+    rng = random.Random(12)
+    long = "".join(rng.choices("abcd ", k=300_000))
+    docs = documents(spark, [(1, long), (2, long[:1000] + "x" + long[1001:]), (3, "a line that is first seen here\nx"), (3, "another text of the same id\na line that is first seen here")])
+    got = sorted((r.doc_id, r.text) for r in line_dedup.drop_lines(docs).collect())
+    assert got[0] == (1, long) and all(i == 3 for i, _ in got[1:])
+    assert sorted(x for _, t in got[1:] for x in t.split("\n")) == ["a line that is first seen here", "another text of the same id", "x"]
 
 
 def test_banded_distance(spark):
@@ -194,7 +244,7 @@ def test_banded_distance(spark):
     pairs = [(a, edited(rng, a, rng.randint(0, 4))) for a in ("".join(rng.choices("abcé", k=rng.randint(3, 30))) for _ in range(150))]
     pairs = [(a, b) for a, b in pairs if abs(len(a) - len(b)) <= 2 and b]
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.split("a", "").alias("x"), F.split("b", "").alias("y"))
-    assert all(r.w == (distance(r.a, r.b) <= 2) for r in df.select("a", "b", line_dedup.within("x", "y", 2).alias("w")).collect())
+    assert all(r.w == (distance(r.a, r.b) <= 2) for r in df.select("a", "b", F.expr(line_dedup.within("x", "y", 2)).alias("w")).collect())
 
 
 # --- 10
