@@ -34,6 +34,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Words of each worker's memo in each of its two generations.
 MEMO = 700_000
+#: Words whose whole prefix vector is kept; beyond, they start anew.
+VECTORS = 100_000
 #: Remembered pairs of tokens; beyond, they start anew.
 PAIRS = 1_500_000
 
@@ -88,6 +90,7 @@ class PrefixCounter:
         self._fits: dict[int, bool] = {}
         self._library = None
         self.totals = _Memo(self)
+        self.vectors: dict[str, list[int]] = {}
 
     @staticmethod
     def _edge(token: int, made: dict, side: int, never: int) -> list[tuple[int, int]]:
@@ -149,7 +152,16 @@ class PrefixCounter:
         return count[1:]
 
     def word_prefixes(self, word: str) -> list[int]:
-        """Counts at every character of one word, each prefix as a text of its own."""
+        """Counts at every character of one word, each prefix as a text of its own; the vectors are kept."""
+        if (found := self.vectors.get(word)) is None:
+            found = self._word_prefixes(word)
+            if len(word) <= 64:
+                if len(self.vectors) >= VECTORS:
+                    self.vectors.clear()
+                self.vectors[word] = found
+        return found
+
+    def _word_prefixes(self, word: str) -> list[int]:
         counts = self.byte_prefixes(word.encode())
         if not word.isascii():
             counts = [counts[e - 1] for e in np.cumsum([len(c.encode()) for c in word]).tolist()]
@@ -283,21 +295,19 @@ def token_counts(docs: DataFrame, *, limit: int = LIMIT, path: str | None = None
 
 
 def _kept(counter: PrefixCounter, text: str, limit: int) -> int:
-    """As longest_within, but it walks only as far as the budget reaches."""
-    if counter._cut is not None and counter._cut.search(text):
+    """As longest_within, from the counts at word ends and the vector of the word in which the budget ends."""
+    if counter._cut is not None and counter.special[0][:2] in text and counter._cut.search(text):
         return counter.longest_within(text, limit)
-    # counts at word ends never fall, so the answer lies in the word in which the budget ends
-    place = before = 0
+    # counts at word ends never fall; a run of white space is read as one, so the vector begins before it
+    place = before = start = base = 0
     for w in counter.words(text):
+        if not place or not text[place - 1].isspace():
+            start, base = place, before
         after = before + counter.totals[w]
         if after > limit:
             break
         place, before = place + len(w), after
-    near = min(len(text), place + len(w) + 1)
-    start = place
-    while start and text[start - 1].isspace():  # a run of white space is read as one
-        start -= 1
-    counts = counter.prefixes(text[:near])[start:]
+    counts = counter.prefixes(text[start : place + len(w) + 1]) + base
     within = np.flatnonzero(counts <= limit)
     return start + int(within[-1]) + 1 if len(within) else start
 

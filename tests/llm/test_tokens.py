@@ -55,3 +55,18 @@ def test_operator(spark):
     rows = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(df, with_prefixes=True).collect()}
     assert {(1, 11, 2, False), (2, 0, 0, False)} <= rows and len(rows) == 3
     assert token_counts(df.limit(0)).count() == 0
+
+
+def test_operator_against_the_library(spark, library):
+    rows = [(n, t, "clash", 5) for n, t in enumerate([*texts(60, 7), None, "", " " * 900, "word " * 700, "<|endoftext|> " * 90, "日本語" * 400])] + [(3, "again", "x", 1), (None, "no id", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, n_bytes int")
+    got = {(r.doc_id, r.n_bytes): r for r in token_counts(df, limit=20).collect()}
+    for i, t, *_ in rows:
+        t = t or ""
+        r = got[i, len(t.encode())]
+        n = library(t)
+        assert (r.n_tokens, r.over_limit) == (n, n > 20)
+        if n <= 20:
+            assert r.kept_chars == len(t)
+        elif len(t) < 300:
+            assert r.kept_chars == max((k for k in range(1, len(t) + 1) if library(t[:k]) <= 20), default=0), repr(t)
