@@ -6,11 +6,12 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.profile import variable_statistics
+from plumbline.operators.sampling import with_range_part
 
 WEIGHTS = (1, 1, 5, 1)
 #: Pairs aggregated in one job.
@@ -45,19 +46,15 @@ def _pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, name: str) -> DataFrame:
-    """value, rank: the average rank of each distinct value.  Ranks come from the counts of distinct values, by a
-    range sort and the sums of the partitions before, never from a window over all rows."""
-    from pyspark.sql import Window
-
+    """value, rank: the average rank of each distinct value.  Ranks come from the counts of distinct values, dealt by
+    range, and the sums of the parts before, never from a window over all rows."""
     counts = df.where(F.col(f"`{name}`").isNotNull()).groupBy(F.col(f"`{name}`").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    ranged = counts.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "value").withColumn("__part", F.spark_partition_id())
+    dealt = with_range_part(counts, ["value"], max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     own = F.sum("n").over(Window.partitionBy("__part").orderBy("value"))
-    ranged = ranged.withColumn("__in", own)
-    sums = ranged.groupBy("__part").agg(F.sum("n").alias("__n"))  # a row for each partition
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(F.col("__part").alias("__p"), before.alias("__before"))
-    found = ranged.join(F.broadcast(starts), F.col("__part") == F.col("__p"))
+    sums = dealt.groupBy(F.col("__part").alias("__p")).agg(F.sum("n").alias("__n"))  # a row for each part
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sums.select("__p", before.alias("__before")))
+    found = dealt.withColumn("__in", own).join(starts, F.col("__part") == F.col("__p"))
     return found.select("value", (F.col("__before") + F.col("__in") - (F.col("n") - 1) / 2).alias("rank"))
 
 

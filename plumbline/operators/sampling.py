@@ -37,20 +37,34 @@ def random_rows(df: DataFrame, order: list[str], n: int, seed: int = 2025) -> Da
     return df.orderBy(F.xxhash64(F.lit(seed), *order), *order).limit(n).orderBy(*order)
 
 
-def positions(df: DataFrame, order: list[str], name: str = "__row") -> DataFrame:
-    """Rows numbered from 0 in key order, without bringing them together: a range sort,
-    then each partition starts after the rows of those before it."""
-    from pyspark.sql import types as T
+def with_range_part(df: DataFrame, order: list[str], parts: int) -> DataFrame:
+    """``df`` with __part, the number of each row's part when rows are dealt in key order into parts of about equal size.
 
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("__at", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__part", F.shiftrightunsigned(F.col("__at"), 33)).withColumn("__in", F.col("__at").bitwiseAND((1 << 33) - 1))
-    sizes = ranged.groupBy("__part").count()  # a row for each partition
-    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col("__part").alias("__p"), before.alias("__before"))
-    found = ranged.join(F.broadcast(starts), F.col("__part") == F.col("__p"))
-    return found.withColumn(name, (F.col("__before") + F.col("__in")).cast(T.LongType())).drop("__at", "__part", "__in", "__p", "__before")
+    The bounds come from a sample chosen by a hash of the key, so they are the same wherever the rows are evaluated (the
+    sample of a range shuffle is not).  Rows equal in all of ``order`` share a part."""
+    key = F.struct(*[F.col(f"`{c}`") for c in order])
+    chosen = df.select(key.alias("key")).orderBy(F.xxhash64("key")).limit(20 * parts)  # a top-k plan
+    bounds = chosen.agg(F.sort_array(F.collect_list("key")).alias("__keys")).select(F.expr(f"transform(sequence(1, {parts}), i -> get(__keys, int(i * size(__keys) div {parts})))").alias("__bounds"))
+    steps = F.array(*[F.lit(1 << k) for k in range(parts.bit_length() - 1, -1, -1)])
+    # binary search for how many of the bounds are at most the key
+    part = F.aggregate(steps, F.lit(0), lambda a, w: F.when((a + w < parts) & (F.get("__bounds", a + w - 1) <= key), a + w).otherwise(a))
+    return df.crossJoin(F.broadcast(bounds)).withColumn("__part", part).drop("__bounds")  # one row of bounds
+
+
+def positions(df: DataFrame, order: list[str], name: str = "__row") -> DataFrame:
+    """Rows numbered from 0 in key order, without bringing them together: each part of the key's range starts after the rows
+    of the parts before it.  Rows equal in the key go by a hash of all their columns, so that a key which holds many rows is
+    dealt as well; maps have no hash and are left out of it."""
+    plain = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    keyed = df.withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+    full = [*order, "__tie"]
+    dealt = with_range_part(keyed, full, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sizes = dealt.groupBy(F.col("__part").alias("__p")).count()  # a row for each part
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("__p", before.alias("__before")))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*[F.col(f"`{c}`") for c in full]))
+    found = dealt.withColumn("__in", inside).join(starts, F.col("__part") == F.col("__p"))
+    return found.withColumn(name, (F.col("__before") + F.col("__in") - 1).cast("long")).drop("__tie", "__part", "__in", "__p", "__before")
 
 
 def spaced_rows(df: DataFrame, order: list[str], limit: int) -> DataFrame:

@@ -165,9 +165,9 @@ def headtail(spark, sf_dir):
     return sampling.sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 10, "headtail")
 
 
-@query("linspace_sample", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS m FROM orders) WHERE rn IN (SELECT (i * ((SELECT count(*) FROM orders) - 1)) // 99 FROM range(100) t(i))")
+@query("linspace_sample", "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS rn FROM lineitem) WHERE rn IN (SELECT (i * ((SELECT count(*) FROM lineitem) - 1)) // 99 FROM range(100) t(i))")
 def linspace_sample(spark, sf_dir):
-    return sampling.sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100, "spaced")
+    return sampling.sample(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], 100, "spaced")
 
 
 @query("random_sample_size", "SELECT 1000 AS n, 1000 AS distinct_keys")
@@ -176,12 +176,12 @@ def random_sample_size(spark, sf_dir):
     return found.agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_distinct("event_id").cast("int").alias("distinct_keys"))
 
 
-@query("take_positions", "SELECT o.o_orderkey, CAST(i AS INTEGER) AS nth FROM (VALUES (0, 5), (1, 0), (2, 5), (3, -1)) w(i, p) JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS m FROM orders) o ON rn = CASE WHEN p < 0 THEN m + p ELSE p END")
+@query("take_positions", "SELECT o.* EXCLUDE (rn, m), CAST(i AS INTEGER) AS nth FROM (VALUES (0, 5), (1, 0), (2, 5), (3, -1)) w(i, p) JOIN (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS m FROM orders) o ON rn = CASE WHEN p < 0 THEN m + p ELSE p END")
 def take_positions(spark, sf_dir):
     from pyspark.sql import Window
 
-    found = sampling.take(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], [5, 0, 5, -1])
-    return found.withColumn("at", F.monotonically_increasing_id()).select("o_orderkey", (F.row_number().over(Window.orderBy("at")) - 1).alias("nth"))
+    found = sampling.take(table(spark, sf_dir, "orders"), ["o_orderkey"], [5, 0, 5, -1])
+    return found.withColumn("at", F.monotonically_increasing_id()).withColumn("nth", F.row_number().over(Window.orderBy("at")) - 1).drop("at")
 
 
 @query("concat_union", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')")

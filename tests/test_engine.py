@@ -228,6 +228,33 @@ def test_missingness(spark):
         dissimilarity.missingness(df, True)
 
 
+def test_positions_with_many_columns_and_ties(spark):
+    n = 5000
+    df = spark.range(n, numPartitions=4).select((F.col("id") % 7).alias("k"), F.when(F.col("id") % 3 > 0, 1.0).alias("hot"), F.col("id").alias("v"), F.lit("x").alias("pad"))
+    rows = sampling.positions(df, ["hot", "k"], "at").collect()
+    assert sorted(r["at"] for r in rows) == list(range(n)) and set(rows[0].asDict()) == {"k", "hot", "v", "pad", "at"}
+    ordered = [(r["hot"] is not None, r["hot"] or 0, r["k"]) for r in sorted(rows, key=lambda r: r["at"])]
+    assert ordered == sorted(ordered)
+    spaced = sampling.sample(df.withColumn("key", n - F.col("v")), "key", 6, "spaced").collect()
+    assert [r["key"] for r in spaced] == [1 + i * (n - 1) // 5 for i in range(6)] and all(r["v"] == n - r["key"] for r in spaced)
+    assert sampling.positions(df.limit(0), ["k"]).count() == 0
+
+
+def test_divisive_against_its_definition():
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(12, 2))
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    rows, members = cluster.divisive(d), {i: {i} for i in range(12)}
+    for k, (a, b, height, count) in enumerate(rows):
+        whole = members[int(a)] | members[int(b)]
+        members[12 + k] = whole
+        assert len(whole) == count and height == d[np.ix_(sorted(whole), sorted(whole))].max()
+        rest, gone = members[int(a)], members[int(b)]
+        if count > 2:  # no member of the rest is nearer to those that left
+            assert all(np.mean([d[i, j] for j in rest - {i}]) <= np.mean([d[i, j] for j in gone]) + 1e-9 for i in rest if len(rest) > 1)
+    assert members[22] == set(range(12))
+
+
 def test_linkage():
     d = np.array([[0, 1, 4, 5], [1, 0, 3, 6], [4, 3, 0, 2], [5, 6, 2, 0]], float)
     assert cluster.average(d).tolist() == [[0, 1, 1, 2], [2, 3, 2, 2], [4, 5, 4.5, 4]]
