@@ -4,15 +4,16 @@ The windows of the benchmark (``k`` consecutive words, or the whole of a
 shorter item) are hashed; every window of every document is hashed and looked
 up in that set without a shuffle, in the scan's own stage.  A hash that is
 found is then verified word by word against the benchmark window, so a
-collision never counts.  Only verified hits are shuffled, by document.
+collision never counts.  Only hits are shuffled, by document.
 
-The set is broadcast in blocks of about ``BLOCK`` windows, a bound that holds
-whatever the benchmark's size; more blocks mean more passes over the text.
+The set (8-byte hashes) is broadcast in blocks of about ``BLOCK`` windows, a bound
+that holds whatever the benchmark's size; more blocks mean more passes over the
+text.
 
 Defined cases: a null or wordless text has no words and no hits; a null or
-wordless item has no windows; items that share a window are all counted; rows
-that repeat a ``doc_id`` are one document, its hits are united; empty tables
-give no hits; other columns stay as they are.
+wordless item has no windows; items that share a window are all counted; an answer
+belongs to the id and the text, so rows that repeat an id with other texts have
+answers of their own; empty tables give no hits; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import alnum_word_count, alnum_words, keep, read, small
 
 WINDOW = 10
-#: Windows broadcast at once; at about 200 bytes each, 20 MB.
-BLOCK = 100_000
+#: Hashes broadcast at once; at about 40 bytes each, 16 MB.
+BLOCK = 400_000
+#: Windows (about 200 bytes each) that are broadcast at most to verify hits.
+BROADCAST_ROWS = 100_000
 
 
 def windows(items: DataFrame, k: int = WINDOW) -> DataFrame:
@@ -35,14 +38,14 @@ def windows(items: DataFrame, k: int = WINDOW) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame, k: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """Verified occurrences: doc_id, start (from 0), k, item_ids."""
+    """Verified occurrences: doc_id, t (hash of the text), start (from 0), k, item_ids."""
     spark = docs.sparkSession
     table = keep(windows(items, k), "bench-windows")
     sizes = sorted(r[0] for r in table.select("k").distinct().collect())  # at most k values
     total = table.count()
-    text = docs.select("doc_id", alnum_words(F.col("text")).alias("ws"))
+    text = docs.select("doc_id", F.xxhash64("text").alias("t"), alnum_words(F.col("text")).alias("ws"))
     if not sizes:
-        return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, k int, item_ids array<bigint>")
+        return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t bigint, start int, k int, item_ids array<bigint>")
     hashed = [F.expr(f"CASE WHEN size(ws) >= {n} THEN transform(sequence(1, size(ws) - {n - 1}), i -> xxhash64(slice(ws, i, {n}))) ELSE array() END") for n in sizes]
     # the hashes of one length stand after those of another: (k, start) follow from the place
     length, start, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
@@ -53,37 +56,39 @@ def hits(docs: DataFrame, items: DataFrame, k: int = WINDOW, block: int = BLOCK)
         before = before + here
     # exploding a plain column is compiled and doesn't copy the words for each row; the outer form keeps the optimizer
     # from deriving a filter that would split the text again for each word
-    grams = text.select("doc_id", "ws", F.concat(*hashed).alias("hs")).select("doc_id", "ws", F.posexplode_outer("hs").alias("place", "h"))
-    out = None
+    grams = text.select("doc_id", "t", "ws", F.concat(*hashed).alias("hs")).select("doc_id", "t", "ws", F.posexplode_outer("hs").alias("place", "h"))
+    found = None
     blocks = -(-total // block)  # dealt by hash, so of even size
+    hashes = table.select("hash", F.col("k").alias("wk")).distinct()
     for b in range(blocks):
-        part = table.where(F.pmod("hash", F.lit(blocks)) == b).select("win", F.col("k").alias("wk"), "hash", "item_ids")
-        same = (grams["h"] == part["hash"]) & (length == part["wk"]) & (F.slice("ws", start + 1, F.col("wk")) == F.col("win"))
-        found = grams.join(F.broadcast(part), same).select("doc_id", start.alias("start"), F.col("wk").alias("k"), "item_ids")
-        out = found if out is None else out.unionByName(found)
-    return out
+        part = hashes.where(F.pmod("hash", F.lit(blocks)) == b)
+        some = grams.join(F.broadcast(part), (grams["h"] == part["hash"]) & (length == part["wk"]))
+        some = some.select("doc_id", "t", start.alias("start"), "hash", F.slice("ws", start + 1, F.col("wk")).alias("words"))
+        found = some if found is None else found.unionByName(some)
+    verify = small(table, total, BROADCAST_ROWS)
+    return found.join(verify, (found["hash"] == verify["hash"]) & (F.col("words") == F.col("win"))).select("doc_id", "t", "start", "k", "item_ids")
 
 
 def per_document(found: DataFrame) -> DataFrame:
-    """doc_id, n_hit, n_items, items (ids as sorted strings) of documents with hits."""
-    united = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("k")).alias("end")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.col("item_ids").cast("array<string>"))))).alias("items"))
+    """doc_id, t, n_hit, n_items, items (ids as sorted strings) of documents with hits."""
+    united = found.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("k")).alias("end")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.col("item_ids").cast("array<string>"))))).alias("items"))
     n_hit = F.expr("aggregate(spans, named_struct('reach', 0, 'n', 0L), (a, s) -> named_struct('reach', greatest(a.reach, s.end), 'n', a.n + greatest(0, s.end - greatest(a.reach, s.start))), a -> a.n)")
-    return united.select("doc_id", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+    return united.select("doc_id", "t", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, k: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; all columns stay."""
-    ids = keep(hits(docs, items, k).select("doc_id").distinct().withColumnRenamed("doc_id", "__hit_id"), "contaminated")
+    ids = keep(hits(docs, items, k).select(F.col("doc_id").alias("__hit_id"), F.col("t").alias("__hit")).distinct(), "contaminated")
     ids = small(ids, ids.count(), 500_000)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__hit_id"]), "left_anti")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__hit_id"]) & (F.xxhash64(docs["text"]) == ids["__hit"]), "left_anti")
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     items = read(spark, sf_dir, "benchmark").select("item_id", "text")
     found = per_document(hits(docs, items)).drop("spans")
-    base = docs.select("doc_id", alnum_word_count(F.col("text")).alias("n_words"))
-    joined = base.join(found.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), alnum_word_count(F.col("text")).alias("n_words"))
+    joined = base.join(found.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("t")), "left")
     n = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         "doc_id", "n_words", n.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),

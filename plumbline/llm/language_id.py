@@ -70,12 +70,11 @@ def language_counts(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(n[used])], ["lang", "bin", "n"])
 
-    found = docs.select("text", "lang").mapInArrow(run, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found["lang"].unique())
+    found = docs.select("text", "lang").mapInArrow(run, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(found["lang"].unique().to_pylist())
     out = np.zeros((len(langs), 1 << BITS), np.int64)
-    for i, lang in enumerate(langs):
-        own = found[found["lang"] == lang]
-        out[i, own["bin"].to_numpy()] = own["n"].to_numpy()
+    place = {lang: i for i, lang in enumerate(langs)}
+    out[[place[lang] for lang in found["lang"].to_pylist()], found["bin"].to_numpy()] = found["n"].to_numpy()
     return langs, out
 
 

@@ -16,8 +16,9 @@ counts.  A base phrase counts only on one diagonal, complete.
 Only matches are shuffled, by document and template.
 
 Defined cases: a null or wordless text has no words, no labels and score 0;
-repeated rows of a ``doc_id`` are one document, equal matches count once;
-labels found twice are listed once; other columns are not looked at.
+an answer belongs to the id and the text, so rows that repeat an id with other
+texts have answers of their own; labels found twice are listed once; of spans
+with equal coverage that overlap all count; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import alnum_word_count, alnum_words, read
+from plumbline.llm.common import alnum_word_count, alnum_words, keep, read
 
 K = 3
 DRIFT = 4
@@ -62,48 +63,49 @@ def template_runs(spark: SparkSession, base=BASE, more=TEMPLATES, k: int = K) ->
 
 
 def matches(docs: DataFrame, runs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, tid, label, is_base, n_runs, p, q of all equal runs."""
-    text = docs.select("doc_id", alnum_words(F.col("text")).alias("ws"))
+    """doc_id, t (hash of the text), tid, label, is_base, n_runs, p, q of all equal runs."""
+    text = docs.select("doc_id", F.xxhash64("text").alias("t"), alnum_words(F.col("text")).alias("ws"))
     hashes = F.expr(f"CASE WHEN size(ws) >= {k} THEN transform(sequence(1, size(ws) - {k - 1}), i -> xxhash64(slice(ws, i, {k}))) ELSE array() END")
     # exploding a plain column is compiled and doesn't copy the words for each row; the outer form keeps the optimizer
     # from deriving a filter that would split the text again for each word
-    grams = text.select("doc_id", "ws", hashes.alias("hs")).select("doc_id", "ws", F.posexplode_outer("hs").alias("p", "h"))
+    grams = text.select("doc_id", "t", "ws", hashes.alias("hs")).select("doc_id", "t", "ws", F.posexplode_outer("hs").alias("p", "h"))
     # the words are compared only where the hashes agree: with a length of the other side that isn't a join key
     same = (grams["h"] == runs["th"]) & (F.slice("ws", F.col("p") + 1, F.size("gram")) == F.col("gram"))
-    return grams.join(F.broadcast(runs), same).select("doc_id", "tid", "label", "is_base", "n_runs", "p", "q")
+    return grams.join(F.broadcast(runs), same).select("doc_id", "t", "tid", "label", "is_base", "n_runs", "p", "q")
 
 
 def spans(found: DataFrame, k: int = K, drift: int = DRIFT, cover: float = COVER, stretch: float = STRETCH) -> DataFrame:
-    """doc_id, label, is_base, start, end (word places), coverage of verified spans, and of base phrases."""
-    votes = found.groupBy("doc_id", "tid", "label", "is_base", "n_runs", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("qs"), F.min("p").alias("start"), (F.max("p") + k).alias("end"))
-    base = votes.where(F.col("is_base") & (F.size("qs") == F.col("n_runs"))).select("doc_id", "tid", "label", "is_base", "start", "end", F.lit(1.0).alias("coverage"))
-    order = Window.partitionBy("doc_id", "tid").orderBy("start", "diagonal")
+    """doc_id, t, label, is_base, start, end (word places), coverage of verified spans, and of base phrases."""
+    votes = found.groupBy("doc_id", "t", "tid", "label", "is_base", "n_runs", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("qs"), F.min("p").alias("start"), (F.max("p") + k).alias("end"))
+    votes = keep(votes, "license-votes")  # read twice below; the texts once
+    base = votes.where(F.col("is_base") & (F.size("qs") == F.col("n_runs"))).select("doc_id", "t", "tid", "label", "is_base", "start", "end", F.lit(1.0).alias("coverage"))
+    order = Window.partitionBy("doc_id", "t", "tid").orderBy("start", "diagonal")
     near = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= drift) & (F.col("start") - F.lag("start").over(order) <= F.col("n_runs") + k + drift)
     clustered = votes.where(~F.col("is_base")).withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("cluster", F.sum("new").over(order))
     clustered = clustered.withColumn("first_q", F.array_min("qs")).withColumn("last_q", F.array_max("qs"))
     # a cluster that is too long may be copies side by side: where the template's places go back, another copy begins
-    whole, within = Window.partitionBy("doc_id", "tid", "cluster"), Window.partitionBy("doc_id", "tid", "cluster").orderBy("start", "diagonal")
+    whole, within = Window.partitionBy("doc_id", "t", "tid", "cluster"), Window.partitionBy("doc_id", "t", "tid", "cluster").orderBy("start", "diagonal")
     long = F.max("end").over(whole) - F.min("start").over(whole) > stretch * (F.col("n_runs") + k - 1)
     again = long & F.coalesce(F.col("first_q") <= F.lag("last_q").over(within), F.lit(False))
     clustered = clustered.withColumn("again", F.when(again, 1).otherwise(0)).withColumn("copy", F.sum("again").over(within))
-    merged = clustered.groupBy("doc_id", "tid", "label", "is_base", "n_runs", "cluster", "copy").agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    merged = clustered.groupBy("doc_id", "t", "tid", "label", "is_base", "n_runs", "cluster", "copy").agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
     merged = merged.withColumn("coverage", F.col("n") / F.col("n_runs")).where((F.col("coverage") >= cover) & (F.col("end") - F.col("start") <= stretch * (F.col("n_runs") + k - 1)))
     # of licenses that share their wording, the one that a place holds best counts
-    by_doc = merged.groupBy("doc_id").agg(F.collect_list(F.struct("tid", "label", "is_base", "start", "end", "coverage")).alias("found"))
+    by_doc = merged.groupBy("doc_id", "t").agg(F.collect_list(F.struct("tid", "label", "is_base", "start", "end", "coverage")).alias("found"))
     best = F.expr("filter(found, s -> NOT exists(found, o -> o.start < s.end AND o.end > s.start AND o.coverage > s.coverage))")
-    return base.unionByName(by_doc.select("doc_id", F.explode_outer(best).alias("s")).select("doc_id", "s.*"))
+    return base.unionByName(by_doc.select("doc_id", "t", F.explode_outer(best).alias("s")).select("doc_id", "t", "s.*"))
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = spans(matches(docs, template_runs(spark)).distinct())
     base = F.col("is_base")
-    by_doc = found.groupBy(F.col("doc_id").alias("hit_id")).agg(
+    by_doc = found.groupBy(F.col("doc_id").alias("hit_id"), "t").agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.round(F.max("coverage"), 6).alias("score"),
     )
-    words = docs.select("doc_id", alnum_word_count(F.col("text")).alias("n_words"))
-    out = words.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), alnum_word_count(F.col("text")).alias("n_words"))
+    out = words.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("t")), "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),

@@ -17,7 +17,7 @@ holds a third of all rows is never sorted in one task.
 Defined cases: a null or empty text has size 0 and target 0 words; sources go
 by code point with null last, and null is a source of its own; rows that
 repeat a ``doc_id`` are documents of their own, with ties in key broken by
-size; no rows, no mix; a document's quality weight comes from
+size; no rows, no mix; columns that the mix adds replace those of their name; a document's quality weight comes from
 ``labels`` where it has one (``WEIGHT_OF_QUALITY``), else ``WEIGHT_UNKNOWN``.
 """
 
@@ -59,11 +59,14 @@ def source_targets(sizes: DataFrame, weights=SOURCE_WEIGHTS, share: float = MIX_
     return t.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, quality_weight: Column, *, weights=SOURCE_WEIGHTS, share: float = MIX_SHARE, most_epochs: int = MOST_EPOCHS, seed: str = SEED, bins: int = BINS, name: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of ``docs`` (doc_id, source, size, and what ``quality_weight`` needs)."""
+def mix(docs: DataFrame, quality_weight: Column, *, weights=SOURCE_WEIGHTS, share: float = MIX_SHARE, most_epochs: int = MOST_EPOCHS, seed: str = SEED, bins: int = BINS, name: str = "mix", more: tuple[str, ...] = (), spread_of: tuple[float, ...] = (1.0, 0.5, 0.25)) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and the columns ``more`` of every row of ``docs`` (doc_id, source, size, and what
+    ``quality_weight`` needs).  spread_of: the weights there are; others change the size of bins and no result."""
     key = -F.log(uniform(seed, F.col("doc_id"))) / quality_weight
-    # 1 - exp(-key) keeps the order of the keys and spreads them over (0, 1)
-    rows = keep(docs.select("doc_id", "source", "size", key.alias("key")).withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins).cast("int")), name)
+    # the mean of the keys' distribution functions, of all weights, keeps their order and spreads each weight's documents
+    # over (0, 1): no bin has more of a source's documents than the number of weights times its share
+    spread = sum((1 - F.exp(-F.col("key") * w) for w in spread_of), F.lit(0.0)) / len(spread_of)
+    rows = keep(docs.select("doc_id", "source", "size", *more, key.alias("key")).withColumn("bin", F.least(F.floor(spread * bins), F.lit(bins - 1)).cast("int")), name)
     by_bin = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     targets = source_targets(by_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most_epochs)
     budget = F.round("target").cast("long")
@@ -83,10 +86,10 @@ def mix(docs: DataFrame, quality_weight: Column, *, weights=SOURCE_WEIGHTS, shar
     plain = plain.join(_few(cut.select(F.col("s").alias("s"), "cut_bin", "before", "budget")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     inside = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
     whole = F.when(F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(False)), F.col("size")).otherwise(F.lit(0))
-    outside = plain.where(~inside).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + whole).alias("taken"))
+    outside = plain.where(~inside).select("doc_id", "source", "size", *more, "source_size", "target", (F.col("epochs") * F.col("size") + whole).alias("taken"))
     running = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fits = F.least("size", F.greatest(F.lit(0), F.col("budget") - F.col("before") - running))
-    ends = plain.where(inside).withColumn("fits", fits).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("fits")).alias("taken"))
+    ends = plain.where(inside).withColumn("fits", fits).select("doc_id", "source", "size", *more, "source_size", "target", (F.col("epochs") * F.col("size") + F.col("fits")).alias("taken"))
     return outside.unionByName(ends).withColumn("target", F.round("target", 6))
 
 
@@ -116,13 +119,17 @@ def weighted(sized: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The documents of which the mix takes words, all columns of ``docs`` and size, source_size, target, taken.
-    A document is read taken / size times; a rest is its first words."""
+    """The documents of which the mix takes words: all columns of ``docs`` and size, source_size, target, taken (in place of
+    columns of these names).  A document is read taken / size times; a rest is its first words.  Rows equal in id, source
+    and text share their words evenly; rows that only share the id are documents of their own."""
     plain = docs.drop("size", "source_size", "target", "taken")
-    sized = docs.select("doc_id", "source", space_word_count(F.col("text")).alias("size"))
-    found = mix(*weighted(sized, labels.select("doc_id", "quality")), **parameters).where("taken > 0")
-    found = keep(found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), "size", "source_size", "target", "taken"), "mixed")
-    return plain.join(small(found, found.count(), 400_000), plain["doc_id"].eqNullSafe(found["__id"])).drop("__id")
+    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("__text"), space_word_count(F.col("text")).alias("size"))
+    found = mix(*weighted(sized, labels.select("doc_id", "quality")), more=("__text",), **parameters)
+    by_row = found.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "__text")
+    found = by_row.agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.expr("sum(taken) div count(1)").alias("taken"))
+    found = keep(found.where("taken > 0"), "mixed")
+    same = plain["doc_id"].eqNullSafe(found["__id"]) & plain["source"].eqNullSafe(found["__source"]) & (F.xxhash64(plain["text"]) == found["__text"])
+    return plain.join(small(found, found.count(), 400_000), same).drop("__id", "__source", "__text")
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:

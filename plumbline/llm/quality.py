@@ -66,9 +66,9 @@ def feature_counts(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0][used]), pa.array(sums[1][used])], ["bin", "raw", "target"])
 
-    found = docs.select("text", "good").mapInArrow(run, "bin bigint, raw bigint, target bigint").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    found = docs.select("text", "good").mapInArrow(run, "bin bigint, raw bigint, target bigint").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     out = np.zeros((2, 1 << BITS), np.int64)
-    out[:, found["bin"].to_numpy(np.int64)] = found[["raw", "target"]].to_numpy(np.int64).T
+    out[:, found["bin"].to_numpy()] = np.stack([found["raw"].to_numpy(), found["target"].to_numpy()])
     return out
 
 
@@ -95,7 +95,7 @@ class Selection:
         marked = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id"), "left")
         self.ratios = spark.sparkContext.broadcast(log_ratios(feature_counts(marked)))
         self.scores = keep(self._scores(marked), "quality-keys")
-        cut = self._part(self.scores.where("good IS NOT NULL").groupBy("doc_id").agg(F.max("log_weight").alias("w"), F.max("good").alias("good")).select("w", "good").toPandas())
+        cut = self._part(self.scores.where("good IS NOT NULL").groupBy("doc_id").agg(F.max("log_weight").alias("w"), F.max("good").alias("good")).select("w", "good").toArrow())
         k = self.scores.where(F.col("log_weight") >= cut).where("doc_id IS NOT NULL").count()
         self.k = k
         self.least, self.last = top(self.scores.where("doc_id IS NOT NULL"), k) if k else (1 << 62, None)
@@ -103,7 +103,7 @@ class Selection:
     @staticmethod
     def _part(found) -> int:
         """The log weight that best parts good from bad, in the middle between them."""
-        w, good = found["w"].to_numpy(np.int64), found["good"].to_numpy(bool)
+        w, good = found["w"].to_numpy(), found["good"].to_numpy().astype(bool)
         if not good.any() or good.all():
             return 0
         order = np.argsort(w, kind="stable")

@@ -309,9 +309,49 @@ def test_license_copies_side_by_side(spark, tmp_path):
     assert [(got[i].labels, got[i].score) for i in range(5)] == [("all-rights-reserved", 1.0)] * 3 + [("", 0.0), ("all-rights-reserved", 1.0)]
 
 
+def test_scans_of_repeated_ids_and_empty_tables(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    gpl, bsd = dict(license_scan.TEMPLATES)["gpl"], dict(license_scan.TEMPLATES)["bsd"]
+    rows = [(1, "no license here at all"), (1, "under the mit license " + item), (1, "under the mit license " + item), (2, "x " * 200_000 + item), (None, item), (None, "cc by nc"), (3, f"{gpl} {bsd}")]
+    write(documents(spark, rows), tmp_path, "documents")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item + " eleven")], "item_id long, text string")
+    write(bench, tmp_path, "benchmark")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_base, r.labels, r.first_word if r.n_base else -1) for r in license_scan.op7_license_scan(spark, str(tmp_path)).collect())
+    assert got == [(0, 3, 1, "cc-by-nc", 0), (0, 10, 0, "", -1), (1, 5, 0, "", -1), (1, 14, 1, "mit", 0), (1, 14, 1, "mit", 0), (2, 200_010, 0, "", -1), (3, len(words(gpl + " " + bsd)), 0, "bsd,gpl", -1)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontaminate.op10_decontaminate(spark, str(tmp_path)).collect())
+    assert got == [(0, 3, 0, 0), (0, 10, 10, 2), (1, 5, 0, 0), (1, 14, 10, 2), (1, 14, 10, 2), (2, 200_010, 10, 2), (3, len(words(gpl + " " + bsd)), 0, 0)]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id or 0, len(r.text)) for r in decontaminate.remove_contaminated(docs, bench).collect()) == [(0, 8), (1, 22), (3, len(gpl + bsd) + 1)]
+    empty = tmp_path / "empty"
+    write(documents(spark, []), empty, "documents")
+    write(bench, empty, "benchmark")
+    assert license_scan.op7_license_scan(spark, str(empty)).count() == decontaminate.op10_decontaminate(spark, str(empty)).count() == 0
+
+
 # --- 9
 
 
+def test_mixed_documents_with_repeated_ids(spark):
+    rows = [(i // 3, "w " * (1 + i % 5), None, "ab"[i % 2]) for i in range(40)] + [(99, "same text", None, "a")] * 2 + [(None, "no id", None, None)]
+    docs = documents(spark, rows).withColumn("size", F.lit("own"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = mixing.mixed_documents(docs, labels, most_epochs=1, share=1.0)
+    assert got.columns == [*(c for c in docs.columns if c != "size"), "size", "source_size", "target", "taken"]
+    rows_out = got.collect()
+    assert len(rows_out) == len(rows) and all(r["taken"] == r["size"] == len(r["text"].split()) for r in rows_out)
+
+
+def test_bins_are_even_for_every_weight(spark):
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("size"), F.when(F.col("id") % 2 == 0, 0.25).otherwise(1.0).alias("w"))
+    held = []
+    real, mixing.keep = mixing.keep, lambda df, name: held.append(real(df, name)) or held[-1]
+    try:
+        mixing.mix(df, F.col("w"), bins=64, share=0.5).count()
+    finally:
+        mixing.keep = real
+    assert held[0].groupBy("bin").count().agg(F.max("count")).first()[0] <= 4 * 40_000 / 64
+
+
 def test_mixing(spark, tmp_path):
     rng = random.Random(9)
     rows = [(i, "w " * rng.randint(0, 30), None, rng.choice(["b", "a", "c", None, "big", "big", "big"])) for i in range(300)] + [(300, None, None, "a"), (301, "", None, "none")]
