@@ -181,7 +181,7 @@ def brute_lines(rows):
     return {p: "near" if x in late else "equal" if first[x] != p else None for p, x in lines.items()}, late, first
 
 
-@pytest.mark.parametrize(("crowd", "cells"), [(16, 7), (2, 7), (1, 5)])
+@pytest.mark.parametrize(("crowd", "cells"), [(32, 7), (1, 5)])
 def test_links_of_lines(spark, crowd, cells):
     texts = near_lines(crowd, 24)
     docs = documents(spark, list(enumerate(texts))).select("doc_id", "text")
