@@ -11,7 +11,10 @@ a document's score is the mean over its tokens of target loss - background loss
 Scoring reads the counts by parts.  The most frequent n-grams, ``FREQUENT`` at
 most, are broadcast; the others that occur twice or more are joined with the
 documents that hold them; what neither has occurs once in the corpus, at the
-place that asks for it.  So each part only moves the cost and never a count.
+place that asks for it.  A bit array of the n-grams to join, ``FILTER_BITS`` at
+most, keeps most of those that occur once from being asked for; once full (some
+2^26 n-grams) it holds back less and less.  So each part only moves the cost and
+never a count.
 
 The target is every document of quality 1.
 
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import ngrams
-from plumbline.llm.common import keep, read, small
+from plumbline.llm.common import keep, partitions, read, small
 
 #: Bins of ``model_counts``; the scores don't depend on them.
 WORD_BITS = 18
@@ -36,6 +39,8 @@ PAIR_BITS = 21
 SMOOTHING = 50.0
 #: N-grams that are broadcast at most (24 bytes each); the result doesn't depend on it.
 FREQUENT = 1 << 22
+#: Bits of the filter of n-grams to join, at most; the result doesn't depend on it.
+FILTER_BITS = 28
 #: Ids of target documents that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Distinct n-grams that a task holds before it sends them.
@@ -94,7 +99,9 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         for a in range(0, len(sums[0]), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)].view(np.int64)) for x in sums], ["key", "n", "target"])
 
-    return docs.select("text", "good").mapInArrow(run, "key bigint, n bigint, target bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+    # the rows of a task are sums already: they are dealt as they are, and no task sums them a second time before
+    found = docs.select("text", "good").mapInArrow(run, "key bigint, n bigint, target bigint").repartition(partitions(docs.sparkSession), "key")
+    return found.groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
 
 
 def model_counts(docs: DataFrame) -> np.ndarray:
@@ -146,7 +153,22 @@ def _frequent(table: DataFrame, most: int) -> tuple[int, int]:
     return 2, 0
 
 
-def _with_rare(marked: DataFrame, rare: DataFrame, frequent) -> DataFrame:
+def _filter_bits(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each key."""
+    return ((keys >> np.uint64(1)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _filter(rare: DataFrame, n_rare: int, most_bits: int) -> tuple[int, np.ndarray]:
+    """How many bits (as a power of two, of 64 at least), and their bytes: set for every key of ``rare``."""
+    bits = max(6, min(most_bits, (16 * n_rare).bit_length()))
+    place = rare.select(F.expr(f"shiftright(key, 1) & {(1 << bits) - 1}L").alias("at"))
+    words = place.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63L))")).alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), "<u8")
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
+    return bits, out.view(np.uint8)
+
+
+def _with_rare(marked: DataFrame, rare: DataFrame, frequent, filtered) -> DataFrame:
     """``marked`` with the counts of the rare n-grams of each document: rare, an array of (key, n, target).
 
     Documents are told apart by a hash; two that share it share the union of their counts, which is right for both."""
@@ -161,7 +183,9 @@ def _with_rare(marked: DataFrame, rare: DataFrame, frequent) -> DataFrame:
                 keys = np.concatenate([words, pairs])
                 of = np.concatenate([np.repeat(rows, lengths + (lengths > 0)), np.repeat(rows, lengths)])
                 distinct, back = np.unique(keys, return_inverse=True)
-                left = ~frequent.value.find(distinct)[0][back]
+                bits, held = filtered.value
+                at = _filter_bits(distinct, bits)
+                left = (((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & ~frequent.value.find(distinct)[0])[back]
                 yield pa.RecordBatch.from_arrays([pa.array(of[left]), pa.array(keys[left].view(np.int64))], ["row", "key"])
 
     asked = marked.select("row", "text").mapInArrow(run, "row bigint, key bigint")
@@ -169,7 +193,7 @@ def _with_rare(marked: DataFrame, rare: DataFrame, frequent) -> DataFrame:
     return marked.join(found.hint("merge"), "row", "left").drop("row")
 
 
-def score(docs: DataFrame, labels: DataFrame, frequent: int = FREQUENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, frequent: int = FREQUENT, broadcast_rows: int = BROADCAST_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every row."""
     known = keep(labels.where("quality = 1").select(F.col("doc_id").alias("label_id"), F.lit(True).alias("good")).where("label_id IS NOT NULL").distinct(), "target-ids")
     marked = docs.select("doc_id", "text").join(small(known, known.count(), broadcast_rows), F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "good")
@@ -182,7 +206,8 @@ def score(docs: DataFrame, labels: DataFrame, frequent: int = FREQUENT, broadcas
     top = table.where(F.col("n") >= least).toArrow()
     held = docs.sparkSession.sparkContext.broadcast(Counts(top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("target").to_numpy()))
     if n_rare:
-        marked = _with_rare(marked, table.where((F.col("n") > 1) & (F.col("n") < least)), held)
+        rare = table.where((F.col("n") > 1) & (F.col("n") < least))
+        marked = _with_rare(marked, rare, held, docs.sparkSession.sparkContext.broadcast(_filter(rare, n_rare, filter_bits)))
 
     def losses(words, pairs, token, n):
         p = (words[n][token] + 1.0) / (totals[n] + distinct)
