@@ -89,9 +89,12 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                 if size > _HELD:
                     held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
                     size = len(held[0][0])
-                    if size > _HELD // 2:
-                        yield from _rows(held[0])
-                        held, size = [], 0
+                    if size > _HELD // 2:  # the more frequent stay, so that they are sent once
+                        n = held[0][1]
+                        stay = n > np.partition(n, -(_HELD // 4))[-(_HELD // 4)]
+                        yield from _rows(tuple(x[~stay] for x in held[0]))
+                        held = [tuple(x[stay] for x in held[0])]
+                        size = len(held[0][0])
         if held:
             yield from _rows(_summed(*map(np.concatenate, zip(*held, strict=True))))
 
@@ -172,7 +175,7 @@ def _with_rare(marked: DataFrame, rare: DataFrame, frequent, filtered) -> DataFr
     """``marked`` with the counts of the rare n-grams of each document: rare, an array of (key, n, target).
 
     Documents are told apart by a hash; two that share it share the union of their counts, which is right for both."""
-    marked = marked.withColumn("row", F.xxhash64("doc_id", "text"))
+    marked = marked.withColumn("row", F.expr("shiftrightunsigned(xxhash64(doc_id, text), 24)"))  # shorter numbers, less to shuffle
 
     def run(batches):
         for batch in batches:

@@ -459,12 +459,12 @@ def brute_losses(rows, good):
     return out
 
 
-@pytest.mark.parametrize("frequent", [lm_scoring.FREQUENT, 40, 0])
-def test_lm_counts_are_exact(spark, frequent):
+@pytest.mark.parametrize(("frequent", "filter_bits"), [(lm_scoring.FREQUENT, lm_scoring.FILTER_BITS), (40, lm_scoring.FILTER_BITS), (40, 6), (0, lm_scoring.FILTER_BITS)])
+def test_lm_counts_are_exact(spark, frequent, filter_bits):
     rng = random.Random(11)
     rows = [(i, prose(rng, rng.randint(0, 40), "abc")) for i in range(60)] + [(60, None), (61, "once only"), (62, "once only"), (63, "single words here")]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(64)], "doc_id long, quality int")
-    got = by_id(lm_scoring.score(documents(spark, rows), labels, frequent=frequent))
+    got = by_id(lm_scoring.score(documents(spark, rows), labels, frequent=frequent, filter_bits=filter_bits))
     expected = brute_losses(rows, {i for i in range(64) if i % 3 == 0})
     assert len(got) == 64 and got[60].target_loss is None
     for i, (target, background) in expected.items():
@@ -487,6 +487,16 @@ def test_lm_counts_grow(spark):
     assert table.where("key & 1 = 0").count() == n + 1 and table.where("key & 1 = 1").count() == n
 
 
+def test_lm_counts_of_tasks_that_send_parts(spark):
+    """More distinct n-grams in a task than it holds: some are sent, the frequent ones stay, and the sums are exact."""
+    n, words = 2048, 600
+    text = F.concat_ws(" ", F.lit("often"), F.expr(f"transform(sequence(1, {words}), i -> concat('w', id * {words} + i))"))
+    table = lm_scoring.ngram_counts(spark.range(0, n, 1, 1).select(text.alias("text"), (F.col("id") % 2 == 0).alias("good")))
+    assert n * words * 2 > 2 * lm_scoring._HELD
+    got = table.groupBy("n", "target").count().collect()
+    assert {(r["n"], r["target"]): r["count"] for r in got} == {(n, n // 2): 3, (1, 0): n * words, (1, 1): n * words}
+
+
 def test_language_id(spark, tmp_path):
     rng = random.Random(6)
     letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "äöüßé"}
