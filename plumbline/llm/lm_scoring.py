@@ -232,12 +232,12 @@ def score(docs: DataFrame, labels: DataFrame, frequent: int = FREQUENT, broadcas
                 token[_starts(lengths)] = False
                 words = _look_up(words, np.repeat(good, lengths + (lengths > 0)), tables)
                 pairs = _look_up(pairs, np.repeat(good, lengths), tables)
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                means = []
-                for m in (1, 0):
-                    loss = np.concatenate([[0.0], np.cumsum(losses(words, pairs, token, m))])
-                    means.append((loss[ends[1:]] - loss[ends[:-1]]) / np.maximum(lengths, 1))
                 none = lengths == 0
+                first = (np.cumsum(lengths) - lengths)[~none]
+                means = [np.zeros(len(lengths)), np.zeros(len(lengths))]
+                for mean, m in zip(means, (1, 0), strict=True):
+                    if len(first):  # each document is summed by itself, whatever stands beside it
+                        mean[~none] = np.add.reduceat(losses(words, pairs, token, m), first) / lengths[~none]
                 mean = [pa.array(np.round(x, 6), pa.float64(), mask=none) for x in means]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), *mean, pa.array(np.round(means[0] - means[1], 6))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
