@@ -37,7 +37,7 @@ from plumbline.llm.common import keep, partitions, read, small
 WORD_BITS = 18
 PAIR_BITS = 21
 SMOOTHING = 50.0
-#: N-grams that are broadcast at most (24 bytes each); the result doesn't depend on it.
+#: N-grams that are broadcast at most (16 bytes each, 24 beyond counts of 32 bits); the result doesn't depend on it.
 FREQUENT = 1 << 22
 #: Bits of the filter of n-grams to join, at most; the result doesn't depend on it.
 FILTER_BITS = 28
@@ -45,6 +45,8 @@ FILTER_BITS = 28
 BROADCAST_ROWS = 500_000
 #: Distinct n-grams that a task holds before it sends them.
 _HELD = 1 << 20
+#: Ranges of keys for each task that sums them; a task that holds many n-grams sends one row for each.
+_PARTS = 16
 _WORD = "key & 1 = 0"
 
 
@@ -99,12 +101,23 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             yield from _rows(_summed(*map(np.concatenate, zip(*held, strict=True))))
 
     def _rows(sums):
-        for a in range(0, len(sums[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)].view(np.int64)) for x in sums], ["key", "n", "target"])
+        # one row a part, of sorted keys: eight bytes each to shuffle, and little for the counts
+        cut = np.searchsorted(sums[0] >> np.uint64(32), (np.arange(n_parts, dtype=np.uint64) * np.uint64(1 << 32) + np.uint64(n_parts - 1)) // np.uint64(n_parts))
+        ends = np.append(cut, len(sums[0]))
+        used = np.flatnonzero(ends[1:] > ends[:-1])
+        offsets = pa.array(np.append(ends[used], len(sums[0])).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64))) for x in sums]
+        rows = pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *lists], ["part", "keys", "n", "target"])
+        for at in range(0, len(used), 64):
+            yield rows.slice(at, 64)
 
     # the rows of a task are sums already: they are dealt as they are, and no task sums them a second time before
-    found = docs.select("text", "good").mapInArrow(run, "key bigint, n bigint, target bigint").repartition(partitions(docs.sparkSession), "key")
-    return found.groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+    n_tasks = partitions(docs.sparkSession)
+    n_parts = _PARTS * n_tasks
+    found = docs.select("text", "good").mapInArrow(run, "part int, keys array<bigint>, n array<bigint>, target array<bigint>").repartition(n_tasks, "part")
+    each = found.select("part", F.inline(F.arrays_zip(F.col("keys").alias("key"), "n", "target")))
+    # a key has one part, so what is dealt by parts is dealt by keys
+    return each.groupBy("part", "key").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).drop("part")
 
 
 def model_counts(docs: DataFrame) -> np.ndarray:
@@ -121,7 +134,8 @@ class Counts:
 
     def __init__(self, keys, n, target):
         order = np.argsort(keys)
-        self.keys, self.both = keys[order], np.stack([n[order], target[order]])
+        # four bytes a count where they suffice: each machine holds a copy
+        self.keys, self.both = keys[order], np.stack([n[order], target[order]]).astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each of the keys is held, and its place."""
