@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,7 +187,7 @@ def _filter(rare: DataFrame, n_rare: int, most_bits: int) -> tuple[int, np.ndarr
 
 
 def _with_rare(marked: DataFrame, rare: DataFrame, frequent, filtered) -> DataFrame:
-    """``marked`` with the counts of the rare n-grams of each document: rare, an array of (key, n, target).
+    """``marked`` (with zstd frames as text) and the counts of the rare n-grams of each document: rare, an array of (key, n, target).
 
     Documents are told apart by a hash; two that share it share the union of their counts, which is right for both."""
     marked = marked.withColumn("row", F.expr("shiftrightunsigned(xxhash64(doc_id, text), 24)"))  # shorter numbers, less to shuffle
@@ -205,7 +206,15 @@ def _with_rare(marked: DataFrame, rare: DataFrame, frequent, filtered) -> DataFr
                 left = (((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & ~frequent.value.find(distinct)[0])[back]
                 yield pa.RecordBatch.from_arrays([pa.array(of[left]), pa.array(keys[left].view(np.int64))], ["row", "key"])
 
+    def packed(batches):
+        pack = zstandard.ZstdCompressor()
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            yield batch.set_column(1, "text", pa.array([pack.compress(t.as_buffer()) if t.is_valid else None for t in texts], pa.binary()))
+
     asked = marked.select("row", "text").mapInArrow(run, "row bigint, key bigint")
+    # texts are shuffled compressed
+    marked = marked.mapInArrow(packed, f"doc_id {marked.schema['doc_id'].dataType.simpleString()}, text binary, good boolean, row bigint")
     found = asked.join(rare.hint("merge"), "key").groupBy("row").agg(F.collect_set(F.struct("key", "n", "target")).alias("rare"))
     return marked.join(found.hint("merge"), "row", "left").drop("row")
 
@@ -216,7 +225,6 @@ def score(docs: DataFrame, labels: DataFrame, frequent: int = FREQUENT, broadcas
     marked = docs.select("doc_id", "text").join(small(known, known.count(), broadcast_rows), F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "good")
     # every word, for the number of them; a pair that isn't in the table occurs once
     table = keep(ngram_counts(marked).where(f"n > 1 OR {_WORD}"), "ngram-counts")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # the cleaner then removes the shuffle files of the counts
     size = table.where(_WORD).agg(F.count(F.lit(1)), F.sum("n"), F.sum("target")).first()
     distinct, totals = size[0], (size[1] or 0, size[2] or 0)
     least, n_rare = _frequent(table, frequent)
@@ -232,16 +240,18 @@ def score(docs: DataFrame, labels: DataFrame, frequent: int = FREQUENT, broadcas
         return -np.log((pairs[n] + SMOOTHING * p) / (before + SMOOTHING))
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                tables = [held.value]
+                tables, texts = [held.value], part.column(1)
                 if n_rare:
+                    texts = pa.array([unpack.decompress(t.as_buffer()).decode() if t.is_valid else None for t in texts], pa.string())
                     rare = part.column(3).flatten()
                     key, n, target = (rare.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                     tables.append(Counts(key.view(np.uint64), n, target))
                 good = np.array([bool(g) for g in part.column(2).to_pylist()])
-                words, pairs, lengths = _batch_keys(part.column(1))
+                words, pairs, lengths = _batch_keys(texts)
                 token = np.ones(len(words), bool)
                 token[_starts(lengths)] = False
                 words = _look_up(words, np.repeat(good, lengths + (lengths > 0)), tables)
