@@ -39,7 +39,7 @@ WORD_BITS = 18
 PAIR_BITS = 21
 SMOOTHING = 50.0
 #: N-grams that are broadcast at most (16 bytes each, 24 beyond counts of 32 bits); the result doesn't depend on it.
-FREQUENT = 1 << 22
+FREQUENT = 1 << 20
 #: Bits of the filter of n-grams to join, at most; the result doesn't depend on it.
 FILTER_BITS = 28
 #: Ids of target documents that are broadcast at most; more are joined by a shuffle.
@@ -231,7 +231,8 @@ def score(docs: DataFrame, labels: DataFrame, frequent: int = FREQUENT, broadcas
     top = table.where(F.col("n") >= least).toArrow()
     held = docs.sparkSession.sparkContext.broadcast(Counts(top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("target").to_numpy()))
     if n_rare:
-        rare = table.where((F.col("n") > 1) & (F.col("n") < least))
+        count = "int" if least < 1 << 31 else "bigint"  # rare n-grams occur less than ``least`` times
+        rare = table.where((F.col("n") > 1) & (F.col("n") < least)).select("key", F.col("n").cast(count), F.col("target").cast(count))
         marked = _with_rare(marked, rare, held, docs.sparkSession.sparkContext.broadcast(_filter(rare, n_rare, filter_bits)))
 
     def losses(words, pairs, token, n):
