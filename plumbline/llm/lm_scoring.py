@@ -39,7 +39,7 @@ WORD_BITS = 18
 PAIR_BITS = 21
 SMOOTHING = 50.0
 #: N-grams that are broadcast at most (16 bytes each, 24 beyond counts of 32 bits); the result doesn't depend on it.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 21
 #: Bits of the filter of n-grams to join, at most; the result doesn't depend on it.
 FILTER_BITS = 28
 #: Ids of target documents that are broadcast at most; more are joined by a shuffle.
