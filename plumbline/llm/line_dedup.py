@@ -25,7 +25,10 @@ dropped if an equal one, or a linked one, stands earlier in the order of
   key, whole and without each of its characters.  Only lines that agree on all
   but one cell and stay unresolved meet the whole of their key.  So rows stay
   linear in a group of lines that are all alike and in one whose lines differ
-  here and there, and no line that has an earlier partner goes unresolved.
+  here and there, and no line that has an earlier partner goes unresolved.  That
+  decides what is dropped (``linked``); ``every`` link is found without the
+  earliest line: crowded keys are only cut finer, no line counts as resolved, and
+  what is left of a key meets in pairs, so rows grow with the links.
 * Two lines only become a candidate if their signatures agree: 64 bits, each the
   parity of the number of characters that hash to it.  An edit changes two bits
   at most, so those of linked lines differ in 2 TAU at most.
@@ -33,9 +36,8 @@ dropped if an equal one, or a linked one, stands earlier in the order of
   verified with a banded bit-parallel edit distance: a band of 2 TAU + 1 cells
   is one integer, updated once for each character.
 
-A dropped line's representative is an earlier linked or equal line; following
-representatives leads to a line that stays, the class of the line.  Everything
-is DataFrame expressions.
+A line's class is its component over every link; the earliest line of a class
+stays and stands for it.  Everything is DataFrame expressions.
 
 Text is read once for the hashes (stored as a table of about 90 bytes a line),
 again for the documents that hold possible partners, and at the end.  It is
@@ -167,7 +169,8 @@ def segment_keys(lines: DataFrame, tau: int) -> DataFrame:
 
 def cell_keys(lines: DataFrame, tau: int, cells: int, touched: int) -> DataFrame:
     """Keys of all cells but the touched ones, each of which holds tau + 1 - touched edits at most: what stands between two of
-    them is shifted by what the edits before it add.  c0 and s1: the first touched cell, and by how much it is longer."""
+    them is shifted by what the edits before it add.  c0 and s1: the first touched cell, and by how much it is longer; fixed:
+    whether the key would hold as well if that cell weren't longer."""
     most = tau + 1 - touched
     nets = [(0,)]  # by how much the first 0, 1, ... touched cells lengthen the line
     for _ in range(touched):
@@ -177,18 +180,19 @@ def cell_keys(lines: DataFrame, tau: int, cells: int, touched: int) -> DataFrame
     shifts, places = [f"s{j + 1}" for j in range(touched)], [f"c{j}" for j in range(touched)]
     edge = lambda i: f"(l * ({i}) div {cells})"
     parts = [(edge(a), edge(b), o) for a, b, o in zip(["0", *[f"{c} + 1" for c in places]], [*places, str(cells)], ["0", *shifts], strict=True)]
-    return _keyed(lines, ways, " ".join(["shorter", "shift", *shifts, *places]), parts, ", ".join([str(touched), *places])).select("key", "id", "sig", "own", "c0", "s1", "l")
+    return _keyed(lines, ways, " ".join(["shorter", "shift", *shifts, *places]), parts, ", ".join([str(touched), *places])).select("key", "id", "sig", "own", "c0", "s1", F.expr(f"s1 = 0{' OR c1 = c0 + 1' if touched > 1 else ''}").alias("fixed"), "l")
 
 
 def variant_keys(rows: DataFrame, lines: DataFrame, cells: int) -> DataFrame:
     """Rows of ``cell_keys`` where each touched cell holds one edit at most: the key with the first touched cell, whole and
-    without one of its characters.  Two cells that are one edit apart have one of these in common.  kind: the cell; lines that
-    have it alike touch one cell less and meet there."""
+    without one of its characters.  Two cells that are one edit apart have one of these in common.  kind: the cell at the
+    length of the indexed line's, if the key holds for that too; lines that have it alike touch one cell less and meet there."""
     cell = rows.join(lines.select("id", "u"), "id").withColumn("at", F.expr(f"l * c0 div {cells}")).withColumn("size", F.expr(f"int(l * (c0 + 1) div {cells} - at + s1)"))
-    cell = cell.withColumn("cell", F.expr("substring(u, int(4 * at + 1), 4 * size)"))
-    cell = cell.select("key", "id", "sig", "own", "cell", "size").repartition(partitions(lines.sparkSession))
-    each = cell.select("key", "id", "sig", "own", "cell", "size", F.explode(F.sequence(F.lit(0), F.col("size"))).alias("without"))
-    return each.select(F.expr("xxhash64(key, substring(cell, 1, 4 * without), substring(cell, 4 * without + 5, 4 * size))").alias("key"), "id", "sig", "own", F.xxhash64("cell").alias("kind"))
+    cell = cell.withColumn("cell", F.expr("substring(u, int(4 * at + 1), 4 * size)")).withColumn("kind", F.expr("if(fixed, xxhash64(substring(u, int(4 * at + 1), 4 * int(size - s1))), NULL)"))
+    cell = cell.select("key", "id", "sig", "own", "cell", "size", "kind").repartition(partitions(lines.sparkSession))
+    # what is left is hashed in one piece, so that a whole cell agrees with a longer one that lost a character anywhere
+    each = cell.select("key", "id", "sig", "own", "cell", "size", "kind", F.explode(F.sequence(F.lit(0), F.col("size"))).alias("without"))
+    return each.select(F.expr("xxhash64(key, concat(substring(cell, 1, 4 * without), substring(cell, 4 * without + 5, 4 * size)))").alias("key"), "id", "sig", "own", "kind")
 
 
 # --- verification
@@ -236,11 +240,11 @@ def verified(pairs: DataFrame, lines: DataFrame, tau: int = TAU) -> DataFrame:
     return both.where(_trimmed(within("c.xs", "c.ys", tau))).select("early", "late")
 
 
-def _meet(rows: DataFrame, lines: DataFrame, tau: int, crowd: int, resolved: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(links, resolved, crowded): lines that share a key (rows: key, id, sig, own, kind) of two kinds at least meet in pairs if they
+def _meet(rows: DataFrame, lines: DataFrame, tau: int, crowd: int, resolved: DataFrame | None, every: bool) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(links, resolved, crowded): lines that share a key (rows: key, id, sig, own, kind, null: a kind of its own) of two kinds at least meet in pairs if they
     are ``crowd`` at most, else all meet the earliest.  Resolved lines have an earlier partner and need no other.  crowded: key, id, sig, kind, lo and late (whether
-    the line is unresolved) of the crowded keys with unresolved lines."""
-    rows = keep(rows.groupBy("key", "id").agg(F.max("own").alias("own"), F.min("kind").alias("kind"), F.min("sig").alias("sig")), "line-rows")
+    the line is unresolved) of the crowded keys with unresolved lines.  With ``every`` none meets the earliest alone and none is resolved."""
+    rows = keep(rows.groupBy("key", "id").agg(F.max("own").alias("own"), F.coalesce(F.min("kind"), F.xxhash64("id")).alias("kind"), F.min("sig").alias("sig")), "line-rows")
     met = rows.groupBy("key").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("c"), F.max("own").alias("own"), F.min("kind").alias("k0"), F.max("kind").alias("k1")).where("own AND k0 <> k1")
     met = keep(met.select(F.col("key").alias("met"), "lo", "c"), "line-met")
     n_met, n_crowded = met.agg(F.count(F.lit(1)), F.count_if(F.col("c") > crowd)).first()
@@ -248,11 +252,13 @@ def _meet(rows: DataFrame, lines: DataFrame, tau: int, crowd: int, resolved: Dat
     few, many = inside.where(F.col("c") <= crowd), inside.where(F.col("c") > crowd)
     later = few.select("key", F.col("id").alias("late"), F.col("kind").alias("other"), F.col("sig").alias("sig2"))
     pairs = few.select("key", F.col("id").alias("early"), "kind", "sig").join(later, "key").where("early < late AND kind <> other").where(_similar(tau)).select("early", "late")
-    if n_crowded:
+    if n_crowded and not every:
         pairs = pairs.unionByName(many.where("id <> lo").select(F.col("lo").alias("early"), F.col("id").alias("late")))
     if resolved is not None:
         pairs = pairs.join(resolved, F.col("late") == F.col("done"), "left_anti")
     links = keep(verified(pairs.distinct(), lines, tau), "line-links")
+    if every:
+        return links, None, many.select("key", "id", "sig", "kind", "lo", F.lit(True).alias("late")) if n_crowded else None
     now = links.select(F.col("late").alias("done"))
     resolved = keep((now if resolved is None else now.unionByName(resolved)).distinct(), "line-resolved")
     if not n_crowded:
@@ -263,11 +269,17 @@ def _meet(rows: DataFrame, lines: DataFrame, tau: int, crowd: int, resolved: Dat
     return links, resolved, None if crowded.isEmpty() else crowded
 
 
-def linked(lines: DataFrame, tau: int = TAU, crowd: int = CROWD, cells: int = CELLS) -> DataFrame:
-    """early, late: links between lines (id, n, u) that give every line with an earlier partner one at least."""
+def linked(lines: DataFrame, tau: int = TAU, crowd: int = CROWD, cells: int = CELLS, every: bool = False) -> DataFrame:
+    """early, late: links between lines (id, n, u) that give every line with an earlier partner one at least; with ``every``
+    all links there are, each once."""
+    found = _linked(lines, tau, crowd, cells, every)
+    return keep(found.distinct(), "line-every") if every else found
+
+
+def _linked(lines: DataFrame, tau: int, crowd: int, cells: int, every: bool) -> DataFrame:
     alone = F.col("id").alias("kind")
     lines = lines.withColumn("sig", F.expr(SIGNATURE))
-    found, resolved, crowded = _meet(segment_keys(lines, tau).select("*", alone), lines, tau, crowd, None)
+    found, resolved, crowded = _meet(segment_keys(lines, tau).select("*", alone), lines, tau, crowd, None, every)
     if crowded is None:
         return found
     n_parts = partitions(lines.sparkSession)
@@ -283,13 +295,13 @@ def linked(lines: DataFrame, tau: int = TAU, crowd: int = CROWD, cells: int = CE
     counts = keep(counts, "line-counts")
     single = single.join(small(counts.select("met", "c"), counts.count(), BROADCAST_ROWS), F.col("key") == F.col("met"))
     more = single.where(F.col("c") <= crowd).select("key", "id", "sig", "own", alone).unionByName(variant_keys(single.where(F.col("c") > crowd), members, cells))
-    links, resolved, crowded = _meet(more if rows is None else rows.unionByName(more), members, tau, crowd, resolved)
+    links, resolved, crowded = _meet(more if rows is None else rows.unionByName(more), members, tau, crowd, resolved, every)
     found = found.unionByName(links)
     if crowded is None:
         return found
-    # lines that agree but for one cell: the unresolved ones meet all earlier ones of their key
+    # lines that agree but for one cell: the unresolved ones meet all earlier ones of their key (the earliest they have met)
     rest = crowded.select("key", F.col("id").alias("early"), "kind", "lo", "sig").join(crowded.where("late").select("key", F.col("id").alias("late"), F.col("kind").alias("other"), F.col("sig").alias("sig2")), "key")
-    rest = rest.where("early < late AND early <> lo AND kind <> other").where(_similar(tau)).select("early", "late").distinct()
+    rest = rest.where("early < late AND kind <> other" if every else "early < late AND early <> lo AND kind <> other").where(_similar(tau)).select("early", "late").distinct()
     return found.unionByName(keep(verified(rest, members, tau), "line-links"))
 
 
@@ -297,37 +309,44 @@ def linked(lines: DataFrame, tau: int = TAU, crowd: int = CROWD, cells: int = CE
 
 
 def marks(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, classes: bool = False, **parameters) -> DataFrame:
-    """doc_id, t, n_lines, drops (line numbers from 0), n_equal, n_near of documents that lose lines, and with ``classes`` the
-    documents of the lines that stand for them; docs: doc_id, text."""
+    """doc_id, t, n_lines, drops (line numbers from 0), n_equal, n_near of documents that lose lines.  With ``classes`` also
+    classes (the documents of the lines that stand for them) and, of all documents with a linked line, n_links (the other
+    lines that its distinct lines are linked to) and linked (the documents of the lines that stand for these); docs: doc_id, text."""
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     table = line_table(docs, tau, min_chars)
     lines = partners(docs, table)
-    links = linked(lines, tau, **parameters)
-    near = links.groupBy(F.col("late").alias("id")).agg(F.min("early").alias("early"))
-    near = near.join(lines.select("id", "h", "h2"), "id")
+    links = linked(lines, tau, every=classes, **parameters)
     if classes:
-        near = keep(near, "line-near")
-        roots = components(near.select(F.col("id").alias("a"), F.col("early").alias("b")))
-        near = near.join(roots.select(F.col("node").alias("id"), "root"), "id").join(lines.select(F.col("id").alias("root"), F.col("doc_id").alias("class")), "root")
-    near = near.select("h", "h2", F.lit(True).alias("near"), (F.col("class") if classes else F.lit(None).cast("long")).alias("class"))
+        ends = links.select(F.col("late").alias("id"), F.lit(True).alias("near")).unionByName(links.select(F.col("early").alias("id"), F.lit(False).alias("near")))
+        near = ends.groupBy("id").agg(F.max("near").alias("near"), F.count(F.lit(1)).alias("n_links"))
+        roots = components(links.select(F.col("late").alias("a"), F.col("early").alias("b")))
+        near = near.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        near = near.join(lines.select(F.col("id").alias("root"), F.col("doc_id").alias("class")), "root")
+    else:
+        near = links.select(F.col("late").alias("id")).distinct().select("id", F.lit(True).alias("near"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("class"))
+    near = near.join(lines.select("id", "h", "h2"), "id").select("h", "h2", "near", "n_links", "class")
     equal = table.groupBy("h", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    marked = equal.join(near, ["h", "h2"], "full_outer").select(F.col("h").alias("mh"), F.col("h2").alias("mh2"), "first_id", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("class", "first_id").alias("class"))
+    marked = equal.join(near, ["h", "h2"], "full_outer").select(F.col("h").alias("mh"), F.col("h2").alias("mh2"), "first_id", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class", "first_id").alias("class"))
     marked = keep(marked, "line-marks")
     same = (F.col("h") == F.col("mh")) & (F.col("h2") == F.col("mh2"))
-    seen = table.select("doc_id", "t", "pos", "h", "h2").join(small(marked, marked.count(), BROADCAST_ROWS), same).select("doc_id", "t", "pos", "h", "h2", "near", "class", (F.col("doc_id") > F.col("first_id")).alias("later"))
+    seen = table.select("doc_id", "t", "pos", "h", "h2").join(small(marked, marked.count(), BROADCAST_ROWS), same).select("doc_id", "t", "pos", "h", "h2", "near", "n_links", "class", (F.col("doc_id") > F.col("first_id")).alias("later"))
     # in the document that holds a line first, its first place stays
     order = Window.partitionBy("doc_id", "h", "h2").orderBy("t", "pos")
     inside = seen.where("NOT near AND NOT later").withColumn("first", F.rank().over(order) == 1).where("NOT first").drop("first")
     gone = seen.where("near OR later").unionByName(inside).select("doc_id", "t", "pos", "near", "class").distinct()
     by_doc = gone.groupBy("doc_id", "t").agg(F.collect_list("pos").alias("drops"), F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_equal"), F.array_sort(F.collect_set("class")).alias("classes"))
-    return by_doc if classes else by_doc.drop("classes")
+    if not classes:
+        return by_doc.drop("classes")
+    held = seen.where("n_links > 0").select("doc_id", "t", "h", "h2", "n_links", "class").distinct()
+    held = held.groupBy("doc_id", "t").agg(F.sum("n_links").alias("n_links"), F.array_sort(F.collect_set("class")).alias("linked"))
+    return by_doc.join(held, ["doc_id", "t"], "full_outer")
 
 
 def marked_documents(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, classes: bool = False, **parameters) -> DataFrame:
-    """``docs`` with __drops, __near, __equal, __kept_text, and with ``classes`` __classes."""
+    """``docs`` with __drops, __near, __equal, __kept_text, and with ``classes`` __classes, __links and __linked."""
     found = marks(docs, tau, min_chars, classes, **parameters)
-    found = keep(found.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("drops").alias("__drops"), F.col("n_near").alias("__near"), F.col("n_equal").alias("__equal"), *[F.col("classes").alias("__classes")] * classes), "line-drops")
-    size = found.agg(F.sum(F.size("__drops") + 4)).first()[0] or 0
+    found = keep(found.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("drops").alias("__drops"), F.col("n_near").alias("__near"), F.col("n_equal").alias("__equal"), *[F.col(c).alias(f"__{a}") for c, a in [("classes", "classes"), ("n_links", "links"), ("linked", "linked")] if classes]), "line-drops")
+    size = found.agg(F.sum(F.coalesce(F.size("__drops"), F.lit(0)) + 4)).first()[0] or 0
     joined = docs.join(small(found, size, 10 * BROADCAST_ROWS), (docs["doc_id"] == found["__id"]) & (F.xxhash64(docs["text"]) == found["__t"]), "left").drop("__id", "__t")
     # the text is split once, and each line looked up by its number
     rest = F.expr("transform(array(split(text, '\\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), __drops), i -> ls[i]), '\\n'))[0]")
@@ -347,12 +366,14 @@ def drop_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, **pa
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """One row a document: lines, lines dropped as equal to or near an earlier one, the documents that hold the lines of
-    their classes, and the digest of the text that stays."""
+    their classes, the digest of the text that stays, the links of its distinct lines to other lines, dropped or not, and the
+    documents that hold the earliest lines of the linked ones' classes."""
     found = marked_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), classes=True)
     count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     return found.select(
         "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), count("__equal").alias("n_equal"), count("__near").alias("n_near"),
         F.coalesce("__classes", F.array().cast("array<bigint>")).alias("class_ids"), F.sha2(F.coalesce("__kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        count("__links").alias("n_links"), F.coalesce("__linked", F.array().cast("array<bigint>")).alias("link_class_ids"),
     )
 
 

@@ -193,6 +193,45 @@ def test_links_of_lines(spark, crowd, cells):
     assert {text[b] for _, b in links} == late and late
 
 
+def brute_links(texts):
+    """All pairs of different lines within two edits, as they stand first in the corpus, and the first line of each one's component."""
+    _, _, first = brute_lines(list(enumerate(texts)))
+    long = sorted((x for x in first if len(x) >= line_dedup.MIN_CHARS), key=first.get)
+    links = {(a, b) for a, b in itertools.combinations(long, 2) if abs(len(a) - len(b)) <= line_dedup.TAU and distance(a, b) <= line_dedup.TAU}
+    root = {x: x for x in long}
+    for _ in long:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b], key=first.get)
+    return links, root, first
+
+
+@pytest.mark.parametrize(("crowd", "cells"), [(32, 7), (4, 7), (1, 5)])
+def test_every_link_of_lines(spark, crowd, cells):
+    alike = [f"a line that stands everywhere but for {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    texts = [*near_lines(crowd, 24), *alike]
+    docs = documents(spark, list(enumerate(texts))).select("doc_id", "text")
+    lines = line_dedup.partners(docs, line_dedup.line_table(docs))
+    text = {r.id: r.line for r in lines.select("id", F.expr("decode(u, 'UTF-32')").alias("line")).collect()}
+    found = [(text[r.early], text[r.late]) for r in line_dedup.linked(lines, crowd=crowd, cells=cells, every=True).collect()]
+    links, _, _ = brute_links(texts)
+    assert len(found) == len(set(found)) and set(found) == links and len(links) > 40 * 39 // 2
+
+
+def test_line_links_of_documents(spark, tmp_path):
+    # 2 is linked to 0 and 1, which are no link of each other and stay; 40 lines are all linked to each other
+    base = "a line of some forty characters in all"
+    texts = ["abcd" + base, "EFGH" + base, "EbcH" + base + "\nEbcH" + base, "EbcH" + base, "nothing like it in the corpus", *near_lines(8)]
+    texts += [f"a line that stands everywhere but for {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    write(documents(spark, [*enumerate(texts)]), tmp_path, "documents")
+    got = by_id(line_dedup.op2_line_dedup(spark, str(tmp_path)))
+    links, root, first = brute_links(texts)
+    for i, t in enumerate(texts):
+        held = {x for x in (t or "").split("\n") if any(x in pair for pair in links)}
+        assert got[i].n_links == sum(x in pair for x in held for pair in links)
+        assert got[i].link_class_ids == sorted({first[root[x]][0] for x in held})
+    assert [got[i].n_links for i in range(5)] == [1, 1, 2, 2, 0] and got[1].n_near == 0 and got[1].link_class_ids == [0]
+
+
 def test_lines_alike_stay_linear(spark):
     same = "the quick brown fox jumps over the lazy dog and then "
     n = 300
