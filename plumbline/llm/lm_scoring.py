@@ -8,13 +8,15 @@ the shared folder that grows with the corpus.  A token's loss under a model is
 a document's score is the mean over its tokens of target loss - background loss
 (lower is nearer to the target).
 
-Scoring reads the counts by parts.  The most frequent n-grams, ``FREQUENT`` at
-most, are broadcast; the others that occur twice or more are joined with the
-documents that hold them; what neither has occurs once in the corpus, at the
-place that asks for it.  A bit array of the n-grams to join, ``FILTER_BITS`` at
-most, keeps most of those that occur once from being asked for; once full (some
-2^26 n-grams) it holds back less and less.  So each part only moves the cost and
-never a count.
+The documents are dealt to blocks by a hash of their rows, so a block holds the
+same documents whenever it is asked for.  Each block sends its distinct n-grams,
+sorted, with its own counts of them, to the parts of the key range; a part sums
+them and answers each block with the counts over all text, in the order in which
+the block sent them, so an answer needs no keys.  Scoring takes the same blocks
+again, sorts their n-grams as before and reads the answers off beside them.  An
+n-gram crosses the shuffle once for each block that holds it, whatever it is and
+however large the corpus; nothing is broadcast but ids of target documents, and
+the driver gets three numbers.
 
 The target is every document of quality 1.
 
@@ -38,16 +40,17 @@ from plumbline.llm.common import keep, partitions, read, small
 WORD_BITS = 18
 PAIR_BITS = 21
 SMOOTHING = 50.0
-#: N-grams that are broadcast at most (16 bytes each, 24 beyond counts of 32 bits); the result doesn't depend on it.
+#: Arguments of ``score`` from when it broadcast n-grams and filtered others; both have no effect, as the result never depended on them.
 FREQUENT = 1 << 21
-#: Bits of the filter of n-grams to join, at most; the result doesn't depend on it.
 FILTER_BITS = 28
 #: Ids of target documents that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Distinct n-grams that a task holds before it sends them.
+#: Bytes of text in a block, about (a longer text is whole); there are as many parts as blocks.
+BLOCK = 1 << 23
+#: N-grams that a block sums at once; more are summed by such runs first.
 _HELD = 1 << 20
-#: Ranges of keys for each task that sums them; a task that holds many n-grams sends one row for each.
-_PARTS = 16
+#: Low bytes of the distances between keys that are sent as they are; noise can't be compressed.
+_NOISE = 5
 _WORD = "key & 1 = 0"
 
 
@@ -68,57 +71,153 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(used) - used
 
 
+def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys sorted, and the order that sorts them (of equal keys, the earlier first)."""
+    bits = np.uint64(max(1, len(keys) - 1).bit_length())
+    # numbers are sorted much faster than indices: the place takes the key's last bits
+    order = keys >> bits
+    order <<= bits
+    order |= np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= (np.uint64(1) << bits) - np.uint64(1)
+    order = order.view(np.int64)
+    found = keys[order]
+    wrong = found[1:] < found[:-1]
+    if wrong.any():  # different keys that agree but for their last bits
+        high = found >> bits
+        for same in np.unique(high[1:][wrong]):
+            at = slice(*np.searchsorted(high, [same, same + np.uint64(1)]))
+            order[at] = order[at][np.argsort(found[at], kind="stable")]
+            found[at] = keys[order[at]]
+    return found, order
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct key begins among sorted ones."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+
+
 def _summed(keys: np.ndarray, n: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys with the sums of both counts."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    """The distinct keys, sorted, with the sums of both counts."""
+    keys, order = _ordered(keys)
+    first = _firsts(keys)
     return keys[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (n, target))
 
 
+def _block_sums(texts, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts, sorted, with their counts and those in good texts."""
+    words, pairs, lengths = _batch_keys(texts)
+    keys = np.concatenate([words, pairs])
+    target = np.concatenate([np.repeat(good, lengths + (lengths > 0)), np.repeat(good, lengths)]).astype(np.int64)
+    runs = [_summed(keys[at : at + _HELD], np.ones(len(keys[at : at + _HELD]), np.int64), target[at : at + _HELD]) for at in range(0, max(1, len(keys)), _HELD)]
+    return runs[0] if len(runs) == 1 else _summed(*map(np.concatenate, zip(*runs, strict=True)))
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The lowest byte of every number, then the next ones."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+
+
+def _numbers(planes: np.ndarray, size: int) -> np.ndarray:
+    """The numbers of ``_planes``, by their count."""
+    width = len(planes) // size
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(f"<u{width}")[:, 0]
+
+
+def _packed_counts(pack, counts: np.ndarray) -> bytes:
+    return pack.compress(_planes(counts.astype(np.min_scalar_type(counts.max()))).tobytes())
+
+
+def _counts(unpack, data: bytes, size: int) -> np.ndarray:
+    return _numbers(np.frombuffer(unpack.decompress(data), np.uint8), size).astype(np.int64)
+
+
+def _packed_keys(pack, keys: np.ndarray) -> bytes:
+    """Sorted keys by their distances."""
+    planes = _planes(np.diff(keys, prepend=np.uint64(0)))
+    return planes[:_NOISE].tobytes() + pack.compress(planes[_NOISE:].tobytes())
+
+
+def _keys(unpack, data: bytes, size: int) -> np.ndarray:
+    planes = np.concatenate([np.frombuffer(data[: _NOISE * size], np.uint8), np.frombuffer(unpack.decompress(data[_NOISE * size :]), np.uint8)])
+    return np.cumsum(_numbers(planes, size), dtype=np.uint64)
+
+
+def _n_blocks(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // BLOCK))
+
+
+def _block(n: int, *columns: str):
+    """The block of a row, by what it holds."""
+    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int").alias("block")
+
+
+def _sent(docs: DataFrame, n_parts: int) -> DataFrame:
+    """part, block, size, keys, n, target: the sorted n-grams of each block in each part's range of keys; docs: block, text, good."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pack = zstandard.ZstdCompressor(level=1)
+        keys, n, target = _block_sums(table.column("text"), np.array([bool(g) for g in table.column("good").to_pylist()]))
+        ranges = (np.arange(n_parts, dtype=np.uint64) * np.uint64(1 << 32) + np.uint64(n_parts - 1)) // np.uint64(n_parts)
+        ends = np.append(np.searchsorted(keys >> np.uint64(32), ranges), len(keys))
+        used = np.flatnonzero(ends[1:] > ends[:-1])
+        at = [slice(ends[i], ends[i + 1]) for i in used]
+        columns = {
+            "part": pa.array(used, pa.int32()),
+            "block": pa.array([table.column("block")[0].as_py()] * len(used), pa.int32()),
+            "size": pa.array([x.stop - x.start for x in at], pa.int32()),
+            "keys": pa.array([_packed_keys(pack, keys[x]) for x in at], pa.binary()),
+        }
+        return pa.table(columns | {name: pa.array([_packed_counts(pack, c[x]) for x in at], pa.binary()) for name, c in (("n", n), ("target", target))})
+
+    return docs.groupBy("block").applyInArrow(run, "part int, block int, size int, keys binary, n binary, target binary")
+
+
+def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys and counts that the blocks sent, one block after another."""
+    unpack = zstandard.ZstdDecompressor()
+    sizes = table.column("size").to_pylist()
+    unpacked = ((f, table.column(name)) for f, name in ((_keys, "keys"), (_counts, "n"), (_counts, "target")))
+    return tuple(np.concatenate([f(unpack, x.as_py(), size) for x, size in zip(column, sizes, strict=True)]) for f, column in unpacked)
+
+
 def ngram_counts(docs: DataFrame) -> DataFrame:
     """key (even: a word or the start; odd: a pair), n, target: counts over all text and over target text; docs: text, good."""
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                good = np.array([bool(g) for g in part.column(1).to_pylist()])
-                words, pairs, lengths = _batch_keys(part.column(0))
-                target = np.concatenate([np.repeat(good, lengths + (lengths > 0)), np.repeat(good, lengths)]).astype(np.int64)
-                held.append(_summed(np.concatenate([words, pairs]), np.ones(len(target), np.int64), target))
-                size += len(held[-1][0])
-                if size > _HELD:
-                    held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
-                    size = len(held[0][0])
-                    if size > _HELD // 2:  # the more frequent stay, so that they are sent once
-                        n = held[0][1]
-                        stay = n > np.partition(n, -(_HELD // 4))[-(_HELD // 4)]
-                        yield from _rows(tuple(x[~stay] for x in held[0]))
-                        held = [tuple(x[stay] for x in held[0])]
-                        size = len(held[0][0])
-        if held:
-            yield from _rows(_summed(*map(np.concatenate, zip(*held, strict=True))))
-
-    def _rows(sums):
-        # one row a part, of sorted keys: eight bytes each to shuffle, and little for the counts
-        cut = np.searchsorted(sums[0] >> np.uint64(32), (np.arange(n_parts, dtype=np.uint64) * np.uint64(1 << 32) + np.uint64(n_parts - 1)) // np.uint64(n_parts))
-        ends = np.append(cut, len(sums[0]))
-        used = np.flatnonzero(ends[1:] > ends[:-1])
-        offsets = pa.array(np.append(ends[used], len(sums[0])).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64))) for x in sums]
-        rows = pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *lists], ["part", "keys", "n", "target"])
-        for at in range(0, len(used), 64):
-            yield rows.slice(at, 64)
+    def run(table: pa.Table) -> pa.Table:
+        keys, n, target = _summed(*_received(table))
+        return pa.table({"key": keys.view(np.int64), "n": n, "target": target})
+
+    blocks = _n_blocks(docs)
+    return _sent(docs.select(_block(blocks, "text"), "text", "good"), blocks).groupBy("part").applyInArrow(run, "key bigint, n bigint, target bigint")
 
-    # the rows of a task are sums already: they are dealt as they are, and no task sums them a second time before
-    n_tasks = partitions(docs.sparkSession)
-    n_parts = _PARTS * n_tasks
-    found = docs.select("text", "good").mapInArrow(run, "part int, keys array<bigint>, n array<bigint>, target array<bigint>").repartition(n_tasks, "part")
-    each = found.select("part", F.inline(F.arrays_zip(F.col("keys").alias("key"), "n", "target")))
-    # a key has one part, so what is dealt by parts is dealt by keys
-    return each.groupBy("part", "key").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).drop("part")
+
+def _answers(sent: DataFrame) -> DataFrame:
+    """block, part, size, n, target: the counts over all text of the n-grams that each block sent, in its order.
+
+    A row of block null for each part has, as words, n_words and n_target, its distinct words and their counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pack = zstandard.ZstdCompressor(level=1)
+        keys, n, target = _received(table)
+        keys, order = _ordered(keys)
+        first = _firsts(keys)
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+        word = keys[first] & np.uint64(1) == 0
+        sizes = table.column("size").to_pylist()
+        ends = np.cumsum([0, *sizes])
+        rows, sums = {}, [int(word.sum())]
+        for name, counts in (("n", n), ("target", target)):
+            total = np.add.reduceat(counts[order], first)
+            sums.append(int(total[word].sum()))
+            rows[name] = pa.array([*(_packed_counts(pack, total[back[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)), None], pa.binary())
+        block, part = ([*table.column(name).to_pylist()] for name in ("block", "part"))
+        rows = {"block": pa.array([*block, None], pa.int32()), "part": pa.array([*part, part[0]], pa.int32()), "size": pa.array([*sizes, None], pa.int32())} | rows
+        return pa.table(rows | {name: pa.array([None] * len(sizes) + [x], pa.int64()) for name, x in zip(("words", "n_words", "n_target"), sums, strict=True)})
+
+    return sent.groupBy("part").applyInArrow(run, "block int, part int, size int, n binary, target binary, words bigint, n_words bigint, n_target bigint")
 
 
 def model_counts(docs: DataFrame) -> np.ndarray:
@@ -130,143 +229,52 @@ def model_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-class Counts:
-    """Counts (keys, n, target) sorted by key, for the n-grams that a table holds."""
-
-    def __init__(self, keys, n, target):
-        order = np.argsort(keys)
-        # four bytes a count where they suffice: each machine holds a copy
-        self.keys, self.both = keys[order], np.stack([n[order], target[order]]).astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each of the keys is held, and its place."""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys, at
-
-
-def _look_up(keys: np.ndarray, good: np.ndarray, tables: list[Counts]) -> np.ndarray:
-    """(2, keys): n and target of each key; what no table holds occurs once, here."""
-    distinct, back = np.unique(keys, return_inverse=True)
-    counts, known = np.ones((2, len(distinct)), np.int64), np.zeros(len(distinct), bool)
-    for table in tables:
-        held, at = table.find(distinct)
-        counts[:, held] = table.both[:, at[held]]
-        known |= held
-    out = counts[:, back]
-    out[1] = np.where(known[back], out[1], good)
-    return out
-
-
-def _frequent(table: DataFrame, most: int) -> tuple[int, int]:
-    """The least count of n-grams that are broadcast, and how many of two or more remain below it."""
-    ceiling = 1 << 16
-    sizes = {r["n"]: r["count"] for r in table.where("n > 1").groupBy(F.least("n", F.lit(ceiling)).alias("n")).count().collect()}
-    least, held = ceiling + 1, 0
-    for n in sorted(sizes, reverse=True):
-        if held + sizes[n] > most:
-            return (1 << 62 if least > ceiling else least), sum(sizes.values()) - held
-        least, held = n, held + sizes[n]
-    return 2, 0
-
-
-def _filter_bits(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The bit of each key."""
-    return ((keys >> np.uint64(1)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-
-
-def _filter(rare: DataFrame, n_rare: int, most_bits: int) -> tuple[int, np.ndarray]:
-    """How many bits (as a power of two, of 64 at least), and their bytes: set for every key of ``rare``."""
-    bits = max(6, min(most_bits, (16 * n_rare).bit_length()))
-    place = rare.select(F.expr(f"shiftright(key, 1) & {(1 << bits) - 1}L").alias("at"))
-    words = place.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63L))")).alias("set")).toArrow()
-    out = np.zeros(1 << (bits - 6), "<u8")
-    out[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
-    return bits, out.view(np.uint8)
-
-
-def _with_rare(marked: DataFrame, rare: DataFrame, frequent, filtered) -> DataFrame:
-    """``marked`` (with zstd frames as text) and the counts of the rare n-grams of each document: rare, an array of (key, n, target).
-
-    Documents are told apart by a hash; two that share it share the union of their counts, which is right for both."""
-    marked = marked.withColumn("row", F.expr("shiftrightunsigned(xxhash64(doc_id, text), 24)"))  # shorter numbers, less to shuffle
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                words, pairs, lengths = _batch_keys(part.column(1))
-                rows = part.column(0).to_numpy()
-                keys = np.concatenate([words, pairs])
-                of = np.concatenate([np.repeat(rows, lengths + (lengths > 0)), np.repeat(rows, lengths)])
-                distinct, back = np.unique(keys, return_inverse=True)
-                bits, held = filtered.value
-                at = _filter_bits(distinct, bits)
-                left = (((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & ~frequent.value.find(distinct)[0])[back]
-                yield pa.RecordBatch.from_arrays([pa.array(of[left]), pa.array(keys[left].view(np.int64))], ["row", "key"])
-
-    def packed(batches):
-        pack = zstandard.ZstdCompressor()
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            yield batch.set_column(1, "text", pa.array([pack.compress(t.as_buffer()) if t.is_valid else None for t in texts], pa.binary()))
-
-    asked = marked.select("row", "text").mapInArrow(run, "row bigint, key bigint")
-    # texts are shuffled compressed
-    marked = marked.mapInArrow(packed, f"doc_id {marked.schema['doc_id'].dataType.simpleString()}, text binary, good boolean, row bigint")
-    found = asked.join(rare.hint("merge"), "key").groupBy("row").agg(F.collect_set(F.struct("key", "n", "target")).alias("rare"))
-    return marked.join(found.hint("merge"), "row", "left").drop("row")
-
-
 def score(docs: DataFrame, labels: DataFrame, frequent: int = FREQUENT, broadcast_rows: int = BROADCAST_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every row."""
     known = keep(labels.where("quality = 1").select(F.col("doc_id").alias("label_id"), F.lit(True).alias("good")).where("label_id IS NOT NULL").distinct(), "target-ids")
-    marked = docs.select("doc_id", "text").join(small(known, known.count(), broadcast_rows), F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "good")
-    # every word, for the number of them; a pair that isn't in the table occurs once
-    table = keep(ngram_counts(marked).where(f"n > 1 OR {_WORD}"), "ngram-counts")
-    size = table.where(_WORD).agg(F.count(F.lit(1)), F.sum("n"), F.sum("target")).first()
-    distinct, totals = size[0], (size[1] or 0, size[2] or 0)
-    least, n_rare = _frequent(table, frequent)
-    top = table.where(F.col("n") >= least).toArrow()
-    held = docs.sparkSession.sparkContext.broadcast(Counts(top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("target").to_numpy()))
-    if n_rare:
-        count = "int" if least < 1 << 31 else "bigint"  # rare n-grams occur less than ``least`` times
-        rare = table.where((F.col("n") > 1) & (F.col("n") < least)).select("key", F.col("n").cast(count), F.col("target").cast(count))
-        marked = _with_rare(marked, rare, held, docs.sparkSession.sparkContext.broadcast(_filter(rare, n_rare, filter_bits)))
+    blocks = _n_blocks(docs)
+    dealt = docs.select(_block(blocks, "doc_id", "text"), "doc_id", "text")
+    marked = dealt.join(small(known, known.count(), broadcast_rows), F.col("doc_id") == F.col("label_id"), "left").select("block", "text", "good")
+    answers = keep(_answers(_sent(marked, blocks)), "ngram-answers")
+    size = answers.agg(F.sum("words"), F.sum("n_words"), F.sum("n_target")).first()
+    distinct, totals = size[0] or 0, (size[1] or 0, size[2] or 0)
 
     def losses(words, pairs, token, n):
         p = (words[n][token] + 1.0) / (totals[n] + distinct)
         before = words[n][:-1][token[1:]]
         return -np.log((pairs[n] + SMOOTHING * p) / (before + SMOOTHING))
 
-    def run(batches):
+    def run(table: pa.Table, answer: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                tables, texts = [held.value], part.column(1)
-                if n_rare:
-                    texts = pa.array([unpack.decompress(t.as_buffer()).decode() if t.is_valid else None for t in texts], pa.string())
-                    rare = part.column(3).flatten()
-                    key, n, target = (rare.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                    tables.append(Counts(key.view(np.uint64), n, target))
-                good = np.array([bool(g) for g in part.column(2).to_pylist()])
-                words, pairs, lengths = _batch_keys(texts)
-                token = np.ones(len(words), bool)
-                token[_starts(lengths)] = False
-                words = _look_up(words, np.repeat(good, lengths + (lengths > 0)), tables)
-                pairs = _look_up(pairs, np.repeat(good, lengths), tables)
-                none = lengths == 0
-                first = (np.cumsum(lengths) - lengths)[~none]
-                means = [np.zeros(len(lengths)), np.zeros(len(lengths))]
-                for mean, m in zip(means, (1, 0), strict=True):
-                    if len(first):  # each document is summed by itself, whatever stands beside it
-                        mean[~none] = np.add.reduceat(losses(words, pairs, token, m), first) / lengths[~none]
-                mean = [pa.array(np.round(x, 6), pa.float64(), mask=none) for x in means]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), *mean, pa.array(np.round(means[0] - means[1], 6))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return marked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, target_loss double, background_loss double, score double")
+        answer = answer.sort_by("part")  # the parts are ranges of keys
+        sizes = answer.column("size").to_pylist()
+        words, pairs, lengths = _batch_keys(table.column("text"))
+        keys, order = _ordered(np.concatenate([words, pairs]))
+        first = _firsts(keys)
+        if sum(sizes) != len(first):
+            raise ValueError(f"{sum(sizes)} counts for {len(first)} n-grams: the input changed between two reads")
+        counts = []
+        for name in ("n", "target"):
+            held = np.empty(len(keys), np.int64)
+            if sizes:
+                each = np.concatenate([_counts(unpack, x.as_py(), k) for x, k in zip(answer.column(name), sizes, strict=True)])
+                held[order] = np.repeat(each, np.diff(np.append(first, len(keys))))
+            counts.append(held)
+        token = np.ones(len(words), bool)
+        token[_starts(lengths)] = False
+        words, pairs = [x[: len(token)] for x in counts], [x[len(token) :] for x in counts]
+        none = lengths == 0
+        first = (np.cumsum(lengths) - lengths)[~none]
+        means = [np.zeros(len(lengths)), np.zeros(len(lengths))]
+        for mean, m in zip(means, (1, 0), strict=True):
+            if len(first):  # each document is summed by itself, whatever stands beside it
+                mean[~none] = np.add.reduceat(losses(words, pairs, token, m), first) / lengths[~none]
+        mean = [pa.array(np.round(x, 6), pa.float64(), mask=none) for x in means]
+        return pa.Table.from_arrays([table.column("doc_id"), pa.array(lengths), *mean, pa.array(np.round(means[0] - means[1], 6))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    answered = answers.where("block IS NOT NULL").select("block", "part", "size", "n", "target")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, target_loss double, background_loss double, score double"
+    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, schema)
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, mixing, quality, simhash, topk
+from plumbline.llm.common import keep
 from plumbline.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, pos string"
@@ -536,6 +537,52 @@ def test_lm_counts_of_tasks_that_send_parts(spark):
     assert {(r["n"], r["target"]): r["count"] for r in got} == {(n, n // 2): 3, (1, 0): n * words, (1, 1): n * words}
 
 
+def shuffled_bytes(spark):
+    """What all stages of the session so far have written for shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_lm_shuffles_little(spark):
+    """However few n-grams are frequent, text and counts cross the shuffles within the budget of the check, 4 times the text."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(3000)], k=100))) for i in range(3000)]
+    docs = keep(documents(spark, rows).select("doc_id", "text"), "lm-documents")
+    labels = spark.range(0, 3000, 3).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    before = shuffled_bytes(spark)
+    assert lm_scoring.score(docs, labels, frequent=0).where("score IS NOT NULL").count() == 3000
+    assert 0 < shuffled_bytes(spark) - before < 4 * sum(len(t) for _, t in rows)
+
+
+def test_lm_counts_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 150)
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randint(0, 40), "abc")) for i in range(50)] + [(50, None), (51, ""), (52, "x" * 1000)]
+    docs = documents(spark, rows)
+    assert lm_scoring._n_blocks(docs) > 20
+    got = by_id(lm_scoring.score(docs, spark.createDataFrame([(i, 1) for i in range(0, 53, 2)], "doc_id long, quality int")))
+    assert len(got) == 53 and got[50].target_loss is None and got[51].score == 0
+    for i, (target, background) in brute_losses(rows, set(range(0, 53, 2))).items():
+        assert got[i].target_loss == pytest.approx(target, abs=2e-6) and got[i].background_loss == pytest.approx(background, abs=2e-6)
+
+
+def test_lm_packing():
+    import zstandard
+
+    pack, unpack = zstandard.ZstdCompressor(), zstandard.ZstdDecompressor()
+    top = (1 << 64) - 1
+    for keys in ([0], [top], [0, 1, 255, 256, 1 << 40, top - 1, top], [5, 6]):
+        sent = np.array(keys, np.uint64)
+        assert lm_scoring._keys(unpack, lm_scoring._packed_keys(pack, sent), len(keys)).tolist() == keys
+    for counts in ([0], [1, 255], [256, 0], [1 << 16, 7], [1 << 40, 3, 0]):
+        assert lm_scoring._counts(unpack, lm_scoring._packed_counts(pack, np.array(counts, np.int64)), len(counts)).tolist() == counts
+    for keys in ([], [3], [top, top - 1, top, top - 3, 0, 2, 1, 2], list(range(40, 0, -1))):  # the last bits decide
+        found, order = lm_scoring._ordered(np.array(keys, np.uint64))
+        assert found.tolist() == sorted(keys) and order.tolist() == sorted(range(len(keys)), key=keys.__getitem__)
+
+
 def test_language_id(spark, tmp_path):
     rng = random.Random(6)
     letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "äöüßé"}
